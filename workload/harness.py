@@ -19,6 +19,7 @@ TABLES = (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES: dict[str, list[str]] = {}
 
 
 # Views that stand for stored tables of the service. They are written once per
@@ -108,6 +109,7 @@ def query(name: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Bed(spark, sf_dir))
+        MODULES.setdefault(fn.__module__.rsplit(".", 1)[-1], []).append(name)
         if sql is not None:
             ORACLES[name] = expand(sql)
         return fn
