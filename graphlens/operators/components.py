@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.session import by_key, cut
+from graphlens.session import cut
 
 MAX_ROUNDS = 200
 
@@ -47,7 +47,7 @@ def _smallest_reaching(edges: DataFrame, part: DataFrame, forward: bool) -> Data
             .select("repo_id", "node", F.least("label", "further").alias("label"))
         )
         before = labels.select("repo_id", "node", F.col("label").alias("was"))
-        merged = cut(by_key(jumped.join(before, ["repo_id", "node"]), "repo_id", "node"))
+        merged = cut(jumped.join(before, ["repo_id", "node"]))
         labels = merged.select("repo_id", "node", "label")
         if merged.filter(F.col("label") != F.col("was")).isEmpty():
             return labels
@@ -62,7 +62,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     each reaches, until both agree everywhere, which leaves the components.
     """
     edges = edges.filter(F.col("src") != F.col("dst")).select("repo_id", "src", "dst").distinct()
-    edges = cut(by_key(edges, "repo_id", "src"))
+    edges = cut(edges)
     done = None
     for _ in range(MAX_ROUNDS):
         edges = _trim(edges)

@@ -275,7 +275,8 @@ def lines(files: DataFrame) -> DataFrame:
     base = module_qname(F.col("unit"), F.col("lang"))
     package = F.nullif(_first(F.col("code"), F.col("package")), F.lit(""))
     module = F.when(F.col("lang") == "java", F.coalesce(package, F.lit(""))).otherwise(F.coalesce(package, base))
-    return u.withColumn("def", defined).withColumn("module", module).withColumn("sep", separator(F.col("lang")))
+    u = u.withColumn("def", defined).withColumn("module", module).withColumn("sep", separator(F.col("lang")))
+    return u.withColumn("info", F.transform("def", _named))
 
 
 def package_names(files: DataFrame) -> DataFrame:
@@ -292,92 +293,85 @@ def _qualified(parts: Column) -> Column:
     return F.replace(F.array_join(kept, "\n"), F.lit("\n"), F.col("sep"))
 
 
-def _symbols(parsed: DataFrame) -> DataFrame:
-    """One row per reported definition."""
-    one = parsed.select(
-        "repo_id", "path", "lang", "module", "sep", "raw", "seen", "async", "nested", "has_methods", "shift", "def", "nest",
-        F.posexplode("def").alias("i", "d"),
-    ).filter(F.col("d").isNotNull())
-    around = F.element_at("nest.around", F.col("i") + 1)
-    inside = F.filter(around, lambda j: _at(j)["kind"] == "function")
+def _named(d: Column, i: Column) -> Column:
+    """What a definition is called and belongs to, from the definitions around it."""
+    around = F.element_at("nest.around", i + 1)
+    in_function = F.exists(around, lambda j: _at(j)["kind"] == "function")
     parents = F.transform(F.filter(around, lambda j: _at(j)["kind"] != "function"), lambda j: _at(j)["name"])
     # a receiver or an out-of-line scope names the class: `Type) Name` in Go, `Type::Name` in C++
-    raw_name = F.col("d.name")
-    go = F.col("lang") == "go"
-    cpp = F.col("lang") == "cpp"
-    owner = F.when(go & raw_name.contains(")"), F.regexp_extract(raw_name, rf"^({WORD})", 1)).when(
-        cpp & raw_name.contains("::") & (F.col("d.kind") == "function"), F.regexp_extract(raw_name, rf"^(.*)::~?{WORD}$", 1)
-    )
-    name = F.when(owner.isNotNull() & (go | cpp), F.regexp_extract(raw_name, rf"(~?{WORD})$", 1)).otherwise(raw_name)
-    flat = ~F.col("has_methods") & (F.col("lang") != "julia")
+    written = d["name"]
+    is_fn = d["kind"] == "function"
+    receiver = (F.col("lang") == "go") & written.contains(")")
+    out_of_line = (F.col("lang") == "cpp") & written.contains("::") & is_fn
+    owner = F.when(receiver, F.regexp_extract(written, rf"^({WORD})", 1)).when(out_of_line, F.regexp_extract(written, rf"^(.*)::~?{WORD}$", 1))
+    name = F.when(owner.isNotNull(), F.regexp_extract(written, rf"(~?{WORD})$", 1)).otherwise(written)
+    flat = ~F.col("has_methods") & (F.col("lang") != "julia") & is_fn
     # an out-of-line owner replaces the scopes around it
-    scope = F.when(owner.isNotNull(), F.array(owner)).when(flat & (F.col("d.kind") == "function"), F.array().cast("array<string>")).otherwise(parents)
-    full = _qualified(F.concat(F.array("module"), scope, F.array(name)))
+    scope = F.when(owner.isNotNull(), F.array(owner)).when(flat, F.array().cast("array<string>")).otherwise(parents)
     method = F.col("has_methods") & (F.size(scope) > 0)
+    return F.when(
+        d.isNotNull(),
+        F.struct(
+            d["kind"].alias("kind"), name.alias("name"), _qualified(F.concat(F.array("module"), scope, F.array(name))).alias("full"),
+            method.alias("method"), F.when(method, _qualified(F.concat(F.array("module"), scope))).alias("holder"),
+            (~in_function | F.col("nested")).alias("reported"),
+        ),
+    )
+
+
+def _symbols(parsed: DataFrame, kind: str) -> DataFrame:
+    """One row per reported definition of a kind."""
+    one = parsed.select("repo_id", "path", "raw", "seen", "async", "shift", "nest", F.posexplode("info").alias("i", "d"))
     end = F.element_at("nest.ends", F.col("i") + 1)
     text = F.slice("raw", F.col("i") + 1, end - F.col("i") + 1)
     body = F.regexp_replace(F.array_join(text, "\n"), r"^[ \t]+", "")
     line = F.element_at("seen", F.col("i") + 1)
-    return one.filter((F.size(inside) == 0) | F.col("nested")).select(
-        "repo_id", F.col("path").alias("file_path"), "lang", F.col("d.kind").alias("kind"), name.alias("name"), full.alias("qualified_name"),
+    return one.filter(F.col("d.reported") & (F.col("d.kind") == kind)).select(
+        "repo_id", F.col("path").alias("file_path"), "d.name", F.col("d.full").alias("qualified_name"),
         (F.col("i") + 1 + F.col("shift")).alias("start_line"), (end + 1 + F.col("shift")).alias("end_line"),
-        method.alias("is_method"), F.rlike(line, F.col("async")).alias("is_async"), F.sha1(body.cast("binary")).alias("body_sha"),
-        F.when(method, _qualified(F.concat(F.array("module"), scope))).alias("class_qname"), F.col("i"),
+        F.col("d.method").alias("is_method"), F.rlike(line, F.col("async")).alias("is_async"), F.sha1(body.cast("binary")).alias("body_sha"),
+        F.col("d.holder").alias("class_qname"),
     )
 
 
-def extract_functions(files: DataFrame) -> DataFrame:
-    return _symbols(lines(files)).filter(F.col("kind") == "function").drop("kind", "i", "lang")
+def extract_functions(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    return _symbols(parsed or lines(files), "function")
 
 
-def extract_classes(files: DataFrame) -> DataFrame:
-    return _symbols(lines(files)).filter(F.col("kind") == "class").select(
-        "repo_id", "file_path", "name", "qualified_name", "start_line", "end_line"
-    )
+def extract_classes(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    return _symbols(parsed or lines(files), "class").select("repo_id", "file_path", "name", "qualified_name", "start_line", "end_line")
 
 
-def extract_call_sites(files: DataFrame) -> DataFrame:
+def extract_call_sites(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """Calls written inside functions: caller, last part of the target, line and column.
 
     Repeats of one target on one line are one site; calls outside any function
     are left out.
     """
-    parsed = lines(files)
-    owners = _symbols(parsed).filter(F.col("kind") == "function").select(
-        "repo_id", F.col("file_path").alias("path"), F.col("start_line"), F.col("qualified_name").alias("caller_qname")
-    )
-    one = parsed.select(
-        "repo_id", "path", "call", "nested", "shift", "def", "nest", "raw", "head", F.posexplode("seen").alias("i", "s")
-    )
-    mine = F.element_at("def", F.col("i") + 1)
-    is_fn = F.coalesce(mine["kind"] == "function", F.lit(False))
+    one = (parsed or lines(files)).select("repo_id", "path", "call", "head", "nested", "shift", "info", "nest", "raw", F.posexplode("seen").alias("i", "s"))
+    info = lambda j: F.element_at("info", j + 1)
+    is_fn = F.coalesce(info(F.col("i"))["kind"] == "function", F.lit(False))
     chain = F.filter(
         F.concat(F.element_at("nest.around", F.col("i") + 1), F.when(is_fn, F.array("i")).otherwise(F.array().cast("array<int>"))),
-        lambda j: _at(j)["kind"] == "function",
+        lambda j: (info(j)["kind"] == "function") & info(j)["reported"],
     )
     # of a definition line only what follows its parameters can be a call
     after = F.regexp_replace(
         F.regexp_replace("s", F.col("head"), F.lit("")), r"^\s*(?:<[^>]*>\s*)?\((?:[^()]|\([^()]*\))*\)", ""
     )
     code = F.when(is_fn, after).otherwise(F.col("s"))
-    hits = (
-        one.select("repo_id", "path", "nested", "shift", "i", chain.alias("chain"), F.element_at("raw", F.col("i") + 1).alias("raw"), F.regexp_extract_all(code, F.col("call"), F.lit(1)).alias("targets"))
-        .filter((F.size("chain") > 0) & (F.size("targets") > 0))
-        .select("repo_id", "path", "shift", "i", "raw", F.explode(F.when(F.col("nested"), F.col("chain")).otherwise(F.slice("chain", F.lit(1), F.lit(1)))).alias("at"), "targets")
-        .select("repo_id", "path", "i", "shift", "at", "raw", F.explode("targets").alias("target"))
-    )
-    name = F.regexp_extract("target", rf"({WORD})$", 1)
-    column = F.greatest(F.expr("locate(target, raw)") - 1, F.lit(0))
-    sites = (
-        hits.withColumn("callee_name", name)
-        .filter(~F.col("callee_name").isin(*CALL_WORDS))
-        .groupBy("repo_id", "path", (F.col("at") + 1 + F.col("shift")).alias("start_line"), "callee_name", (F.col("i") + 1 + F.col("shift")).alias("line"))
-        .agg(F.max(column).alias("character"))
-    )
+    owners = F.transform(F.when(F.col("nested"), chain).otherwise(F.slice(chain, F.lit(1), F.lit(1))), lambda j: info(j)["full"])
+    hits = one.select(
+        "repo_id", "path", (F.col("i") + 1 + F.col("shift")).alias("line"), F.element_at("raw", F.col("i") + 1).alias("raw"),
+        owners.alias("owners"), F.regexp_extract_all(code, F.col("call"), F.lit(1)).alias("targets"),
+    ).filter((F.size("owners") > 0) & (F.size("targets") > 0))
     return (
-        sites.join(owners, ["repo_id", "path", "start_line"])
-        .groupBy("repo_id", F.col("path").alias("file_path"), "caller_qname", "callee_name", "line")
-        .agg(F.max("character").alias("character"))
+        hits.select("repo_id", "path", "line", "raw", F.explode("owners").alias("caller_qname"), "targets")
+        .select("repo_id", F.col("path").alias("file_path"), "line", "raw", "caller_qname", F.explode("targets").alias("target"))
+        .withColumn("callee_name", F.regexp_extract("target", rf"({WORD})$", 1))
+        .filter(~F.col("callee_name").isin(*CALL_WORDS))
+        .groupBy("repo_id", "file_path", "caller_qname", "callee_name", "line")
+        .agg(F.max(F.greatest(F.expr("locate(target, raw)") - 1, F.lit(0))).alias("character"))
     )
 
 
@@ -463,8 +457,10 @@ def ingest_stats(files: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set(file_label(F.col("path")))), ",").alias("languages"),
     )
     out = seen
+    parsed = lines(files)
     for df, c in (
-        (extract_functions(files), "functions"), (extract_classes(files), "classes"), (extract_call_sites(files), "calls"), (extract_imports(files), "imports"),
+        (extract_functions(files, parsed), "functions"), (extract_classes(files, parsed), "classes"),
+        (extract_call_sites(files, parsed), "calls"), (extract_imports(files), "imports"),
     ):
         out = out.join(n(df, c), "repo_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

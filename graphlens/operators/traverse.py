@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.modules import short_name
 from graphlens.operators.resolve import named_functions, written_calls
-from graphlens.session import by_key, cut
+from graphlens.session import cut
 
 MAX_DEPTH = 4
 
@@ -27,11 +27,14 @@ class CallNames:
 
     @classmethod
     def of(cls, sites: DataFrame, functions: DataFrame) -> CallNames:
-        """Both tables, stored once, laid out by name for the hops."""
+        """Both tables, stored once for all hops.
+
+        They are not laid out by name: a name with most of the calls would make
+        one partition of them, and a join that finds its input in place cannot
+        be split by the adaptive planner.
+        """
         calls = written_calls(sites, functions).select("repo_id", "caller", "name")
-        return cls(
-            cut(by_key(calls, "repo_id", "name")), cut(by_key(named_functions(functions), "repo_id", "name"))
-        )
+        return cls(cut(calls), cut(named_functions(functions)))
 
 
 def reach(graph: CallNames, seeds: DataFrame, depth: int, upward: bool) -> DataFrame:

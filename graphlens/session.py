@@ -59,13 +59,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` reliably and forget how it was computed."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition on the join key of a loop before it is materialised once.
-
-    The number of partitions is the session's, so later joins on the same key
-    find the data in place instead of shuffling it again every round.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
