@@ -15,7 +15,7 @@ and calls count for every function around them.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +28,9 @@ WORD = r"[A-Za-z_]\w*"
 MODIFIERS = (
     r"(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|sealed|async|partial|readonly|extern|"
     r"synchronized|native|default|inline|constexpr|explicit|open|data|suspend|inner|companion|lateinit|operator|infix|"
-    r"implicit|lazy|case|mutating|class|fileprivate|convenience|required|pub|unsafe|const|export|local)\s+)*"
+    r"implicit|lazy|case|mutating|class|fileprivate|convenience|required|pub|unsafe|const|export|local)\s+){0,6}"
 )
-TYPED = r"(?:[\w<>\[\],.?:*&~]+\s+)+[*&]*"  # a return type before a name
+TYPED = r"(?:[\w<>\[\],.?:*&~]++\s++){1,8}[*&]*"  # a return type before a name; prose is given up on after eight words
 NOT_A_NAME = "if for while switch catch return new else do try sizeof throw await typeof elif with and or not in is lambda yield assert del print".split()
 
 # Words that look like calls and are not, over all languages.
@@ -149,19 +149,24 @@ def _head(pattern: str) -> str:
     return pattern
 
 
-RULE_SCHEMA = (
-    "lang string, comment string, types string, scopes string, functions string, methods string, package string, "
-    "async string, call string, head string, nested boolean, has_methods boolean, imports array<string>"
-)
+def rule_of(lang: Column) -> Column:
+    """The row of the rule table for a language, null for languages without rules.
+
+    The table has one row per language and is a literal of the plan, so files
+    meet their rules without a join.
+    """
+    rows: list[Column] = []
+    for name, r in RULES.items():
+        fields = [F.lit(r[k] or NEVER).alias(k) for k in ("types", "scopes", "functions", "methods", "package", "async")]
+        fields += [F.lit(r[k]).alias(k) for k in ("comment", "call", "nested", "has_methods")]
+        fields.append(F.lit("|".join(_head(r[k]) for k in ("functions", "methods") if r[k])).alias("head"))
+        fields.append(F.array(*[F.lit(p) for p in r["imports"]]).alias("imports"))
+        rows += [F.lit(name), F.struct(*fields)]
+    return F.element_at(F.create_map(*rows), lang)
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    """The rule table: one row per language, a fixed and small number of rows."""
-    rows = [
-        (lang, r["comment"], *[r[k] or NEVER for k in ("types", "scopes", "functions", "methods", "package", "async")], r["call"], "|".join(_head(r[k]) for k in ("functions", "methods") if r[k]), r["nested"], r["has_methods"], list(r["imports"]))
-        for lang, r in RULES.items()
-    ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+def with_rules(units_: DataFrame) -> DataFrame:
+    return units_.withColumn("rule", rule_of(F.col("lang"))).filter(F.col("rule").isNotNull()).select("*", "rule.*").drop("rule")
 
 
 def units(files: DataFrame) -> DataFrame:
@@ -225,7 +230,8 @@ def _first(text: Column, pattern: Column) -> Column:
     return F.call_function("regexp_extract", text, pattern, F.lit(1))
 
 
-STRING = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`"""
+# possessive, so that long lines neither recurse nor backtrack
+STRING = r""""[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"""
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -234,7 +240,7 @@ def lines(files: DataFrame) -> DataFrame:
     Texts in quotes and comments are blanked before any rule is applied. Python
     blocks between triple quotes count as one text.
     """
-    u = units(files).join(F.broadcast(rules(files.sparkSession)), "lang")
+    u = with_rules(units(files))
     # keep the breaks of a triple-quoted text so that lines stay where they are
     triple = r'(?s)("""|\'\'\')(.*?)\1'
     pieces = F.split("code", triple)
@@ -245,37 +251,31 @@ def lines(files: DataFrame) -> DataFrame:
     blank = lambda s: F.regexp_replace(F.regexp_replace(s, STRING, '""'), F.concat("comment", F.lit(r".*$")), "")
     u = u.withColumn("seen", F.transform("seen", lambda s: F.when(s.rlike(r"^\s*#\s*include|^\s*#\s*define"), F.lit("")).otherwise(blank(s))))
 
-    def role(s: Column) -> Column:
-        first = F.regexp_extract(s, r"^\s*(\S+)", 1)
-        d = lambda c: F.rlike(s, F.col(c))
+    first = lambda s: F.regexp_extract(s, r"^\s*(\S+)", 1)
+    pair = lambda k, s, c: F.struct(F.lit(k).alias("kind"), _first(s, F.col(c)).alias("name"))
+
+    def define(s: Column) -> Column:
+        found = F.when(F.rlike(s, F.col("functions")), pair("function", s, "functions"))
+        for kind, c in (("class", "types"), ("scope", "scopes"), ("function", "methods")):
+            found = found.when((F.col(c) != NEVER) & F.rlike(s, F.col(c)), pair(kind, s, c))
+        # lines that close or continue a block define nothing
+        return F.when(~s.rlike(r"^\s*($|[)\]{}]|end\b)"), found)
+
+    def role(s: Column, d: Column) -> Column:
+        w = first(s)
         return (
-            F.when(first == "", -1)
-            .when(first.rlike(r"^(\}|end\b)"), 2)
-            .when(first.rlike(r"^[)\]{]"), 3)
-            .when(d("types") | d("scopes") | d("functions") | d("methods"), 1)
-            .otherwise(0)
+            F.when(d.isNotNull(), 1).when(w == "", -1).when(w.rlike(r"^(\}|end\b)"), 2).when(w.rlike(r"^[)\]{]"), 3).otherwise(0)
         )
 
-    u = u.withColumn("role", F.transform("seen", role)).withColumn(
+    u = u.withColumn("def", F.transform("seen", define))
+    u = u.withColumn("role", F.zip_with("seen", "def", role)).withColumn(
         "indent", F.transform("seen", lambda s: F.length(F.regexp_extract(F.replace(s, F.lit("\t"), F.lit("    ")), r"^( *)", 1)))
     )
     u = u.withColumn("nest", _nest("indent", "role"))
-    got = lambda s, c: _first(s, F.col(c))
-
-    def define(s: Column) -> Column:
-        pair = lambda k, n: F.struct(F.lit(k).alias("kind"), n.alias("name"))
-        return (
-            F.when(F.rlike(s, F.col("types")), pair("class", got(s, "types")))
-            .when(F.rlike(s, F.col("scopes")), pair("scope", got(s, "scopes")))
-            .when(F.rlike(s, F.col("functions")), pair("function", got(s, "functions")))
-            .when(F.rlike(s, F.col("methods")), pair("function", got(s, "methods")))
-        )
-
-    defined = F.zip_with("seen", "role", lambda s, r: F.when(r == 1, define(s)))
     base = module_qname(F.col("unit"), F.col("lang"))
     package = F.nullif(_first(F.col("code"), F.col("package")), F.lit(""))
     module = F.when(F.col("lang") == "java", F.coalesce(package, F.lit(""))).otherwise(F.coalesce(package, base))
-    u = u.withColumn("def", defined).withColumn("module", module).withColumn("sep", separator(F.col("lang")))
+    u = u.withColumn("module", module).withColumn("sep", separator(F.col("lang")))
     return u.withColumn("info", F.transform("def", _named))
 
 
@@ -320,18 +320,27 @@ def _named(d: Column, i: Column) -> Column:
 
 
 def _symbols(parsed: DataFrame, kind: str) -> DataFrame:
-    """One row per reported definition of a kind."""
-    one = parsed.select("repo_id", "path", "raw", "seen", "async", "shift", "nest", F.posexplode("info").alias("i", "d"))
-    end = F.element_at("nest.ends", F.col("i") + 1)
-    text = F.slice("raw", F.col("i") + 1, end - F.col("i") + 1)
-    body = F.regexp_replace(F.array_join(text, "\n"), r"^[ \t]+", "")
-    line = F.element_at("seen", F.col("i") + 1)
-    return one.filter(F.col("d.reported") & (F.col("d.kind") == kind)).select(
-        "repo_id", F.col("path").alias("file_path"), "d.name", F.col("d.full").alias("qualified_name"),
-        (F.col("i") + 1 + F.col("shift")).alias("start_line"), (end + 1 + F.col("shift")).alias("end_line"),
-        F.col("d.method").alias("is_method"), F.rlike(line, F.col("async")).alias("is_async"), F.sha1(body.cast("binary")).alias("body_sha"),
-        F.col("d.holder").alias("class_qname"),
-    )
+    """One row per reported definition of a kind.
+
+    Rows are put together while the file is still one row, so that what is
+    exploded are the definitions, without the text around them.
+    """
+
+    def row(d: Column, i: Column) -> Column:
+        end = F.element_at("nest.ends", i + 1)
+        body = F.regexp_replace(F.array_join(F.slice("raw", i + 1, end - i + 1), "\n"), r"^[ \t]+", "")
+        return F.when(
+            d["reported"] & (d["kind"] == kind),
+            F.struct(
+                d["name"].alias("name"), d["full"].alias("qualified_name"),
+                (i + 1 + F.col("shift")).alias("start_line"), (end + 1 + F.col("shift")).alias("end_line"),
+                d["method"].alias("is_method"), F.rlike(F.element_at("seen", i + 1), F.col("async")).alias("is_async"),
+                F.sha1(body.cast("binary")).alias("body_sha"), d["holder"].alias("class_qname"),
+            ),
+        )
+
+    found = F.filter(F.transform("info", row), lambda r: r.isNotNull())
+    return parsed.select("repo_id", F.col("path").alias("file_path"), F.explode(found).alias("r")).select("repo_id", "file_path", "r.*")
 
 
 def extract_functions(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
@@ -348,26 +357,31 @@ def extract_call_sites(files: DataFrame, parsed: DataFrame | None = None) -> Dat
     Repeats of one target on one line are one site; calls outside any function
     are left out.
     """
-    one = (parsed or lines(files)).select("repo_id", "path", "call", "head", "nested", "shift", "info", "nest", "raw", F.posexplode("seen").alias("i", "s"))
     info = lambda j: F.element_at("info", j + 1)
-    is_fn = F.coalesce(info(F.col("i"))["kind"] == "function", F.lit(False))
-    chain = F.filter(
-        F.concat(F.element_at("nest.around", F.col("i") + 1), F.when(is_fn, F.array("i")).otherwise(F.array().cast("array<int>"))),
-        lambda j: (info(j)["kind"] == "function") & info(j)["reported"],
-    )
-    # of a definition line only what follows its parameters can be a call
-    after = F.regexp_replace(
-        F.regexp_replace("s", F.col("head"), F.lit("")), r"^\s*(?:<[^>]*>\s*)?\((?:[^()]|\([^()]*\))*\)", ""
-    )
-    code = F.when(is_fn, after).otherwise(F.col("s"))
-    owners = F.transform(F.when(F.col("nested"), chain).otherwise(F.slice(chain, F.lit(1), F.lit(1))), lambda j: info(j)["full"])
-    hits = one.select(
-        "repo_id", "path", (F.col("i") + 1 + F.col("shift")).alias("line"), F.element_at("raw", F.col("i") + 1).alias("raw"),
-        owners.alias("owners"), F.regexp_extract_all(code, F.col("call"), F.lit(1)).alias("targets"),
-    ).filter((F.size("owners") > 0) & (F.size("targets") > 0))
+
+    def sites(s: Column, i: Column) -> Column:
+        is_fn = F.coalesce(info(i)["kind"] == "function", F.lit(False))
+        chain = F.filter(
+            F.concat(F.element_at("nest.around", i + 1), F.when(is_fn, F.array(i)).otherwise(F.array().cast("array<int>"))),
+            lambda j: (info(j)["kind"] == "function") & info(j)["reported"],
+        )
+        # of a definition line only what follows its parameters can be a call
+        after = F.regexp_replace(
+            F.regexp_replace(s, F.col("head"), F.lit("")), r"^\s*(?:<[^>]*>\s*)?\((?:[^()]|\([^()]*\))*\)", ""
+        )
+        owners = F.transform(F.when(F.col("nested"), chain).otherwise(F.slice(chain, F.lit(1), F.lit(1))), lambda j: info(j)["full"])
+        targets = F.regexp_extract_all(F.when(is_fn, after).otherwise(s), F.col("call"), F.lit(1))
+        return F.when(
+            F.contains(s, F.lit("(")),
+            F.struct((i + 1 + F.col("shift")).alias("line"), F.element_at("raw", i + 1).alias("raw"), owners.alias("owners"), targets.alias("targets")),
+        )
+
+    found = F.filter(F.transform("seen", sites), lambda r: r.isNotNull() & (F.size(r["owners"]) > 0) & (F.size(r["targets"]) > 0))
     return (
-        hits.select("repo_id", "path", "line", "raw", F.explode("owners").alias("caller_qname"), "targets")
-        .select("repo_id", F.col("path").alias("file_path"), "line", "raw", "caller_qname", F.explode("targets").alias("target"))
+        (parsed or lines(files))
+        .select("repo_id", F.col("path").alias("file_path"), F.explode(found).alias("r"))
+        .select("repo_id", "file_path", "r.line", "r.raw", F.explode("r.owners").alias("caller_qname"), "r.targets")
+        .select("repo_id", "file_path", "line", "raw", "caller_qname", F.explode("targets").alias("target"))
         .withColumn("callee_name", F.regexp_extract("target", rf"({WORD})$", 1))
         .filter(~F.col("callee_name").isin(*CALL_WORDS))
         .groupBy("repo_id", "file_path", "caller_qname", "callee_name", "line")
@@ -412,7 +426,7 @@ def _leaves(found: DataFrame) -> DataFrame:
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """One row per imported name: module, alias, whether it is relative."""
-    u = units(files).join(F.broadcast(rules(files.sparkSession)), "lang").select("repo_id", "path", "lang", "code", F.explode("imports").alias("rule"))
+    u = with_rules(units(files)).select("repo_id", "path", "lang", "code", F.explode("imports").alias("rule"))
     marks_relative = F.col("rule").rlike(r'\(\(\?<=|\(\)\("\)')
     found = u.select("repo_id", "path", "lang", marks_relative.alias("is_relative"), F.explode(F.regexp_extract_all("code", F.col("rule"), F.lit(1))).alias("text"))
     return _leaves(found).withColumnRenamed("path", "file_path").distinct()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,18 +102,17 @@ def semantic_search(items: DataFrame, queries: DataFrame, limit: int = 10, group
     )
 
 
-def hashed_vector(text: Column, dims: int = 384) -> Column:
-    """A unit vector of hashed word counts: the stand-in where no encoder is given."""
-    words = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(words, lambda w: w == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(0.0).cast("float"))
-
-
 def embed(df: DataFrame, text: Column, encode=None, dims: int = 384) -> DataFrame:
-    """Add `vector`: unit vectors by `encode` (list of texts -> list of vectors), batch by batch."""
+    """Add `vector`, of length one.
+
+    `encode` maps a list of texts to a list of vectors and is called batch by
+    batch. Without it, words are counted by hash, which needs no model.
+    """
     if encode is None:
-        return df.withColumn("vector", hashed_vector(text, dims))
+        worded = df.withColumn("_words", tokens(text))
+        counted = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_counts").transform(worded)
+        unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
+        return unit.withColumn("vector", vector_to_array("_unit", "float32")).drop("_words", "_counts", "_unit")
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:

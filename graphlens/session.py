@@ -1,4 +1,4 @@
-"""Session defaults, the shared scratch folder, and lineage cutting."""
+"""Session defaults, the shared folder, and cutting lineage."""
 
 from __future__ import annotations
 
@@ -45,17 +45,19 @@ def shared_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="graphlens-")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh table location under the shared folder."""
     return f"{shared_root(spark)}/graphlens/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` reliably and forget how it was computed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to a table of the shared folder and go on from there.
+
+    Loops use this instead of `checkpoint`: a table survives lost executors as
+    well, and besides the lineage it also drops what the optimizer has inferred
+    about the columns, which otherwise grows with every round. Its size on disk
+    is known, so small steps are joined without a shuffle.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

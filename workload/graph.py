@@ -123,8 +123,11 @@ def _first_caller(bed: Bed):
 START = """start AS (SELECT repo_id, caller_qname AS fn, file_path FROM v_call_sites ORDER BY 1, 2, 3 LIMIT 1)"""
 
 
-def _closure(edge: str, back: str, depth: int) -> str:
-    return f"""WITH {START},
+CALLED = """start AS (SELECT repo_id, dst AS fn FROM v_calls ORDER BY 1, 2 LIMIT 1)"""
+
+
+def _closure(start: str, edge: str, back: str, depth: int) -> str:
+    return f"""WITH {start},
 hop(repo_id, fn, d) AS (
   SELECT c.repo_id, c.{back}, 1 FROM v_calls c JOIN start s ON c.repo_id = s.repo_id AND c.{edge} = s.fn
   UNION
@@ -135,13 +138,13 @@ FROM hop h JOIN v_functions f ON f.repo_id = h.repo_id AND f.qualified_name = h.
 ORDER BY 1, 2, 3 LIMIT 100"""
 
 
-@query("callers_of", _closure("dst", "src", 3))
+@query("callers_of", _closure(CALLED, "dst", "src", 3))
 def _(bed: Bed):
-    repo, fn, _path = _first_caller(bed)
+    repo, fn = bed.view("v_calls").agg(F.min(F.struct("repo_id", "dst")).alias("m")).first().m
     return traverse.callers_of(_graph(bed), bed.view("v_functions"), repo, fn, depth=3)
 
 
-@query("callees_of", _closure("src", "dst", 3))
+@query("callees_of", _closure(START, "src", "dst", 3))
 def _(bed: Bed):
     repo, fn, _path = _first_caller(bed)
     return traverse.callees_of(_graph(bed), bed.view("v_functions"), repo, fn, depth=3)
