@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphlens.session import cut
+
 K1, B = 1.2, 0.75
 
 
@@ -35,16 +37,16 @@ def document_frequency(index: DataFrame) -> DataFrame:
 def keyword_search(docs: DataFrame, key: str, text: Column, query: str, group: str | None = None, wanted: str | None = None, limit: int = 25) -> DataFrame:
     """Best documents for a query by BM25 (k1 1.2, b 0.75), best first.
 
-    One pass over the texts: each keeps its length and how often it holds each
-    query word, so nothing but counts and the documents hit are shuffled. The
-    number of query words bounds the width of that row.
+    The texts are read once: of each only its length and how often it holds
+    each query word are stored, and corpus counts and scores come from those.
+    Nothing but counts and the documents hit is shuffled.
     """
     words = sorted({w for w in _query_words(query)})
     if group is not None and wanted is not None:
         docs = docs.filter(F.col(group) == wanted)
-    hits = docs.select(F.col(key).alias("doc"), tokens(text).alias("w")).select(
+    hits = cut(docs.select(F.col(key).alias("doc"), tokens(text).alias("w")).select(
         "doc", F.size("w").alias("length"), *[_times("w", q).alias(f"tf{i}") for i, q in enumerate(words)]
-    )
+    ))
     totals = hits.agg(
         F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]
     )

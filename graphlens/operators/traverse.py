@@ -37,38 +37,50 @@ class CallNames:
         return cls(cut(calls), cut(named_functions(functions)))
 
 
-def reach(graph: CallNames, seeds: DataFrame, depth: int, upward: bool) -> DataFrame:
-    """Functions met within `depth` hops of each start: (repo_id, start, fn, hops).
+def _sides(graph: CallNames, upward: bool) -> tuple[DataFrame, DataFrame]:
+    """How a hop enters a name from a function, and how it leaves to the next one."""
+    if upward:
+        return graph.names.withColumnRenamed("fn", "at"), graph.calls.withColumnRenamed("caller", "to")
+    return graph.calls.withColumnRenamed("caller", "at"), graph.names.withColumnRenamed("fn", "to")
+
 
-    `seeds` holds (repo_id, start, fn). A start's own functions are in the
-    answer only when a cycle leads back to them.
+def opened_names(graph: CallNames, seeds: DataFrame, depth: int, upward: bool) -> DataFrame:
+    """Names crossed within `depth` hops of each start: (repo_id, start, name, hops).
+
+    `seeds` holds (repo_id, start, fn). A name is kept with its first hop only.
     """
-    depth = max(1, min(MAX_DEPTH, depth))
-    if upward:
-        enter = graph.names.withColumnRenamed("fn", "at")
-        leave = graph.calls.withColumnRenamed("caller", "to")
-    else:
-        enter = graph.calls.withColumnRenamed("caller", "at")
-        leave = graph.names.withColumnRenamed("fn", "to")
+    enter, leave = _sides(graph, upward)
     frontier = seeds.select("repo_id", "start", F.col("fn").alias("at"))
     opened: list[DataFrame] = []
-    hops = []
-    for hop in range(1, depth + 1):
+    for hop in range(1, max(1, min(MAX_DEPTH, depth)) + 1):
         names = frontier.join(enter, ["repo_id", "at"]).select("repo_id", "start", "name").distinct()
         for earlier in opened:
             names = names.join(earlier, ["repo_id", "start", "name"], "left_anti")
         if hop < depth:
             names = cut(names)
-            opened.append(names)
-        found = names.join(leave, ["repo_id", "name"]).select("repo_id", "start", "to").distinct()
-        if hop < depth:
-            found = cut(found)
-        hops.append(found.withColumn("hops", F.lit(hop)))
-        frontier = found.withColumnRenamed("to", "at")
-    met = hops[0]
-    for found in hops[1:]:
-        met = met.unionByName(found)
-    return met.groupBy("repo_id", "start", F.col("to").alias("fn")).agg(F.min("hops").alias("hops"))
+            frontier = (
+                names.join(leave, ["repo_id", "name"]).select("repo_id", "start", F.col("to").alias("at")).distinct()
+            )
+        opened.append(names)
+    out = opened[0].withColumn("hops", F.lit(1))
+    for i, names in enumerate(opened[1:], 2):
+        out = out.unionByName(names.withColumn("hops", F.lit(i)))
+    return out
+
+
+def reach(graph: CallNames, seeds: DataFrame, depth: int, upward: bool) -> DataFrame:
+    """Functions met within `depth` hops of each start: (repo_id, start, fn, hops).
+
+    A start's own functions are in the answer only when a cycle leads back to
+    them.
+    """
+    _enter, leave = _sides(graph, upward)
+    return (
+        opened_names(graph, seeds, depth, upward)
+        .join(leave, ["repo_id", "name"])
+        .groupBy("repo_id", "start", F.col("to").alias("fn"))
+        .agg(F.min("hops").alias("hops"))
+    )
 
 
 def _neighbours(
@@ -103,9 +115,12 @@ def _file_pairs(graph: CallNames, functions: DataFrame, starts: DataFrame, depth
     seeds = starts.select("repo_id", F.col("path").alias("start")).join(
         owner.withColumnRenamed("path", "start"), ["repo_id", "start"]
     )
+    # a name leads to few files through many functions: go to the files at once
+    _enter, leave = _sides(graph, upward)
+    files_of = leave.join(owner.withColumnRenamed("fn", "to"), ["repo_id", "to"]).select("repo_id", "name", "path").distinct()
     return (
-        reach(graph, seeds, depth, upward)
-        .join(owner, ["repo_id", "fn"])
+        opened_names(graph, seeds, depth, upward)
+        .join(files_of, ["repo_id", "name"])
         .filter(F.col("path") != F.col("start"))
         .select("repo_id", "start", "path")
         .distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.operators.maintain import purge_files
@@ -37,8 +37,7 @@ def apply_batch(store: Store, batch: DataFrame, batch_id: int) -> None:
     A row without content means the file was removed. A batch replayed after a
     failure writes the same version again.
     """
-    last = Window.partitionBy("repo_id", "path").orderBy(F.col("seq").desc())
-    files = batch.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("repo_id", "path", "content")
+    files = batch.groupBy("repo_id", "path").agg(F.max_by("content", "seq").alias("content"))
     removed = files.filter(F.col("content").isNull()).select("repo_id", "path")
     present = files.filter(F.col("content").isNotNull())
     stored = store.read()

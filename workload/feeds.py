@@ -254,20 +254,21 @@ def _(bed: Bed):
 
 
 @query("notebook_source", """
-SELECT conv_id, 'python' AS language, '.py' AS ending, sha1(string_agg(cell, '' ORDER BY turn)) AS code_sha FROM (
-  SELECT conv_id, turn, CASE WHEN role <> 'user' THEN repeat(chr(10), len(text) - len(replace(text, chr(10), '')) + 1)
-                             WHEN text LIKE concat('%', chr(10)) THEN concat(text, chr(10)) ELSE concat(text, chr(10), chr(10)) END AS cell
-  FROM conversations) c GROUP BY conv_id
+SELECT conv_id, turn, 'python' AS language, '.py' AS ending,
+       sha1(concat(chr(10), chr(10), CASE WHEN role <> 'user' THEN repeat(chr(10), len(text) - len(replace(text, chr(10), '')) + 1)
+            WHEN text LIKE concat('%', chr(10)) THEN concat(text, chr(10)) ELSE concat(text, chr(10), chr(10)) END)) AS code_sha
+FROM conversations
 """)
 def _(bed: Bed):
-    cell = F.struct(F.when(F.col("role") == "user", "code").otherwise("markdown").alias("cell_type"), F.array("text").alias("source"))
-    files = (
-        bed.table("conversations").groupBy("conv_id")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", cell.alias("c")))), lambda x: x["c"]).alias("cells"))
-        .select("conv_id", F.to_json(F.struct("cells")).alias("content"))
+    """Every turn as a notebook file of two cells."""
+    cell = lambda kind, text: F.struct(kind.alias("cell_type"), F.array(text).alias("source"))
+    cells = F.array(
+        cell(F.lit("markdown"), F.concat(F.lit("# "), "role", F.lit("\n"))),
+        cell(F.when(F.col("role") == "user", "code").otherwise("markdown"), F.col("text")),
     )
+    files = bed.table("conversations").select("conv_id", "turn", F.to_json(F.struct(cells.alias("cells"))).alias("content"))
     got = notebooks.notebook_source(F.col("content"))
-    return files.select("conv_id", got["language"].alias("language"), got["ending"].alias("ending"), F.sha1(got["code"]).alias("code_sha"))
+    return files.select("conv_id", "turn", got["language"].alias("language"), got["ending"].alias("ending"), F.sha1(got["code"]).alias("code_sha"))
 
 
 @query("script_blocks", r"""
