@@ -18,6 +18,7 @@ def split_hot_join(
     keys: Sequence[str],
     spread_by: Column,
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Inner equi join whose hot keys on the left are cut into slices.
 
@@ -25,10 +26,12 @@ def split_hot_join(
     slices and its right rows are repeated once per slice; all other keys stay
     in one. At most (left rows / hot_rows) keys can be hot, which bounds the
     table that is broadcast. `spread_by` decides the slice, so it must be a
-    column that differs between the rows of one key.
+    column that differs between the rows of one key. `counted` is a table with at
+    least as many rows per key as `left`, where one is at hand that is cheaper to
+    count; the slices then follow its counts.
     """
     hot = (
-        left.groupBy(*keys)
+        (left if counted is None else counted).groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
         .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"))

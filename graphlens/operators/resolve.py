@@ -43,7 +43,8 @@ def named_functions(functions: DataFrame) -> DataFrame:
 def resolve_calls(sites: DataFrame, functions: DataFrame) -> DataFrame:
     """Call edges: every function of the repo that bears the written name."""
     return split_hot_join(
-        written_calls(sites, functions), named_functions(functions), ["repo_id", "name"], F.col("caller")
+        written_calls(sites, functions), named_functions(functions), ["repo_id", "name"], F.col("caller"),
+        counted=sites.select("repo_id", F.col("callee_name").alias("name")),
     ).select("repo_id", F.col("caller").alias("src"), F.col("fn").alias("dst"), "line")
 
 
@@ -132,7 +133,10 @@ def file_call_edges_by_name(sites: DataFrame, functions: DataFrame) -> DataFrame
         .agg(F.count(F.lit(1)).alias("n_defined"))
     )
     return (
-        split_hot_join(callers, defined, ["repo_id", "name"], F.col("src"))
+        split_hot_join(
+            callers, defined, ["repo_id", "name"], F.col("src"),
+            counted=sites.select("repo_id", F.col("callee_name").alias("name")),
+        )
         .filter(F.col("src") != F.col("dst"))
         .groupBy("repo_id", "src", "dst")
         .agg(F.sum(F.col("n_callers") * F.col("n_defined")).alias("weight"))

@@ -50,14 +50,14 @@ def keyword_search(docs: DataFrame, key: str, text: Column, query: str, group: s
     totals = hits.agg(
         F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]
     )
-    scored = hits.filter(" OR ".join(f"tf{i} > 0" for i in range(len(words))) if words else "false").withColumn("_one", F.lit(1)).join(
-        F.broadcast(totals.withColumn("_one", F.lit(1))), "_one"  # a single row of counts
-    )
+    corpus = totals.select(F.struct("*").alias("corpus")).scalar()  # one row of counts
+    scored = hits.filter(" OR ".join(f"tf{i} > 0" for i in range(len(words))) if words else "false").withColumn("corpus", corpus)
+    n_docs, avg_length = F.col("corpus.n"), F.col("corpus.avg_length")
     score = F.lit(0.0)
     for i in range(len(words)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+        tf, df = F.col(f"tf{i}"), F.col(f"corpus.df{i}")
+        idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg_length))
     return scored.select("doc", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "doc").limit(limit)
 
 
@@ -84,20 +84,19 @@ def semantic_search(items: DataFrame, queries: DataFrame, limit: int = 10, group
 
     `items` has item_id and vector, `queries` query_id and vector. With `group`
     both have that column and a query sees only its group, before the cut. The
-    queries are at most MAX_QUERIES and are sent to the items as one row; per
+    queries are at most MAX_QUERIES and reach the items as one value; per
     task only the best `limit` items of a query leave for the final ranking.
     """
     n = queries.count()
     if n > MAX_QUERIES:
         raise ValueError(f"{n} queries; ask in batches of {MAX_QUERIES}")
     cols = ["query_id", "vector"] + ([group] if group else [])
-    packed = queries.agg(F.collect_list(F.struct(*cols)).alias("qs")).withColumn("_one", F.lit(1))
-    pairs = items.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one")
+    asked = items.withColumn("qs", queries.agg(F.collect_list(F.struct(*cols)).alias("qs")).scalar())
     mine = F.filter("qs", lambda q: q[group] == F.col(group)) if group else F.col("qs")
     scores = F.transform(mine, lambda q: F.struct(q["query_id"].alias("query_id"), cosine(q["vector"], F.col("vector")).alias("score")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return (
-        pairs.select("item_id", F.explode(scores).alias("s"))
+        asked.select("item_id", F.explode(scores).alias("s"))
         .select("s.query_id", "item_id", "s.score")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
