@@ -160,10 +160,11 @@ def savings_summary(log: DataFrame, as_of: datetime, hours: int = 24, card: str
         nested(saving, "by_integration", down, F.col("integration").alias("p")),
         nested(savings_daily(log, as_of, hours, card), "daily", F.col("day").alias("o")),
     ]
-    out = parts[0].withColumn("_one", F.lit(1))
+    out = parts[0]
     for p in parts[1:]:  # one row each
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one").withColumn("window_hours", F.lit(hours))
+        row = p.select(F.struct("*").alias("row")).scalar()
+        out = out.withColumn("_row", row).select(*out.columns, "_row.*")
+    return out.withColumn("window_hours", F.lit(hours))
 
 
 def shares(df: DataFrame, value: str) -> DataFrame:
