@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 1024
 PIECE = 256
-WINDOWS = 64
+WINDOWS = 128
 
 SCHEMA = (
     "{id} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
