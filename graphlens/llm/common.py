@@ -166,7 +166,7 @@ def connected(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")
         ).select("e.*")
         now = cut(small.where("a <> b").distinct())
-        state = tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum("b")).first())
+        state = tuple(now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == seen:
             break
         seen = state
