@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphlens.llm import chat, gam, line_dedup, mixing, omh, packing, warc
+from graphlens.llm import chat, gam, line_dedup, mixing, omh, ownership, packing, pivots, threshold, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,11 +48,26 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+@query("op5_pivot_index", pivots.SQL)
+def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_order_minhash")
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op7_secret_ownership")
+def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op8_threshold_top_k", threshold.SQL)
+def op8_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query("op9_quality_classifier")
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
