@@ -219,7 +219,7 @@ def mix_documents(
     ).withColumns({
         "low": F.greatest("begin", F.col("block") * block), "high": F.least(F.expr("begin + size"), (F.col("block") + 1) * block),
     })
-    taken = parts.join(slots(spark, plan), ["source_ix", "block"]).withColumn(
+    taken = parts.join(slots(spark, plan).hint("merge"), ["source_ix", "block"]).withColumn(
         "high", F.least("high", F.col("block") * block + F.col("words"))
     )
     pieces = taken.where("high > low").select(
