@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm import gam, mixing, packing
+from graphlens.llm import gam, line_dedup, mixing, omh, packing
 from graphlens.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,6 +19,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return gam.scored(docs, model, name="_score").where(F.col("_score") >= 0.3).select(*COLUMNS)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones.
+
+    A document that loses all its words was a copy and goes; one that had none stays.
+    """
+    found = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    emptied = (F.size("removed") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return found.where(~emptied).withColumn(
+        "n_chars", F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    ).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return omh.without_duplicates(docs.select(*COLUMNS))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents and parts of documents that the mix takes, as often as it does."""
     return mixing.mixed_texts(docs.select(*COLUMNS))
@@ -31,6 +48,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
     ("mixing", mixed),
     ("packing", packed),
 ]
