@@ -230,7 +230,7 @@ def near_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS,
     carried = hot.dropDuplicates() if hot.limit(1).count() else None
     if carried is not None:
         needed = hot.select("line").distinct()
-        carried = carried.join(texts.join(needed, "line", "left_semi").dropDuplicates(["line"]), "line")
+        carried = carried.join(texts.join(needed.hint("merge"), "line", "left_semi").dropDuplicates(["line"]), "line")
     while carried is not None:
         bucket *= 2
         rows = cut(_rest_signatures(carried, edits))
@@ -240,7 +240,7 @@ def near_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS,
         carried = again.join(rows, ["key", "side", "line", "gap"]).dropDuplicates(["key", "side", "line", "gap"]) if again.limit(1).count() else None
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    known = cut(texts.join(needed, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")))
+    known = cut(texts.join(needed.hint("merge"), "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")))
     both = pairs.join(known.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(
         known.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -272,7 +272,7 @@ def repeats(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, buc
     rooted = cut(each.join(classes.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line")))
     whole = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     repeated = rooted.select("line", "root").join(whole, "root").select("line", "keep")
-    extra = lines.join(repeated, "line").where(~order.eqNullSafe(F.col("keep")))
+    extra = lines.join(repeated.hint("merge"), "line").where(~order.eqNullSafe(F.col("keep")))
     return extra.groupBy("id", "version").agg(F.collect_set("position").alias("removed"))
 
 
@@ -287,6 +287,9 @@ def dedup_lines(
     empty ones empty. A document whose lines all repeat ends up empty. Other
     columns are kept; ones called n_lines or removed are replaced.
 
+    The joins with texts and with lines are always sort-merge joins: the other side
+    grows with the table, and on small tables Spark would broadcast it.
+
     Lines are known by a 64-bit hash; near ones are compared letter by letter.
     """
     base = docs.drop("n_lines", "removed")
@@ -306,7 +309,7 @@ def dedup_lines(
 
     text = F.col(text_col)
     at = base.join(
-        taken,
+        taken.hint("merge"),
         base[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_version")),
         "left",
     )
