@@ -115,10 +115,12 @@ class Archive:
 MANIFEST = pa.schema([("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
 
-def write_records(rows: DataFrame, root: str, make: Callable[[dict], bytes]) -> DataFrame:
+def write_records(
+    rows: DataFrame, root: str, make: Callable[[dict], bytes], archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES
+) -> DataFrame:
     """Write the record of every row into archives under `root`; return the stored list of files.
 
-    Every task writes files of its own, of about `ARCHIVE_BYTES`, under names with
+    Every task writes files of its own, of about `archive_bytes`, under names with
     the task attempt in them. Only the files of attempts that Spark accepts are in
     the list, so a task run twice leaves a file that nobody reads.
     """
@@ -143,11 +145,11 @@ def write_records(rows: DataFrame, root: str, make: Callable[[dict], bytes]) ->
                 if archive is None:
                     waiting.append(record)
                     held += len(record)
-                    if held >= SAMPLE_BYTES:
+                    if held >= sample_bytes:
                         start()
                 else:
                     archive.add(record)
-                if archive is not None and archive.size >= ARCHIVE_BYTES:
+                if archive is not None and archive.size >= archive_bytes:
                     done.append(archive.close())
                     archive = None
             if done:
@@ -333,7 +335,7 @@ def read_pages(files: DataFrame, root: str, with_payload: bool = True) -> DataFr
     )
 
 
-def write_pages(pages: DataFrame, root: str, least: int = LEAST_REVISIT) -> DataFrame:
+def write_pages(pages: DataFrame, root: str, least: int = LEAST_REVISIT, **sizes: int) -> DataFrame:
     """Archive (page_id, url, html) rows; return the stored list of files.
 
     Of pages with equal payloads of `least` bytes or more, that with the largest
@@ -358,7 +360,7 @@ def write_pages(pages: DataFrame, root: str, least: int = LEAST_REVISIT) -> Data
         revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left"
     )
     return write_records(
-        decided.select("page_id", "url", "payload", "keeper"), root, lambda r: page_record(r["page_id"], r["url"], r["payload"], r["keeper"])
+        decided.select("page_id", "url", "payload", "keeper"), root, lambda r: page_record(r["page_id"], r["url"], r["payload"], r["keeper"]), **sizes
     )
 
 
