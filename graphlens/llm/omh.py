@@ -44,7 +44,8 @@ def labelled_shingles(keys: np.ndarray, rows: np.ndarray, n: int, shingle: int)
         order = where[np.argsort(spread[where], kind="stable")]
         same = np.concatenate([[False], spread[order][1:] == spread[order][:-1]])
         begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        out[order] = mix(out[order] + (np.arange(len(order)) - begin).astype(U64) * U64(0xD1B54A32D192ED03))
+        nth = (np.arange(len(order)) - begin).astype(U64)
+        out[order] = np.where(nth > 0, mix(out[order] + nth * U64(0xD1B54A32D192ED03)), out[order])
     return out, out_bounds
 
 

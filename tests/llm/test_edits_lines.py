@@ -20,9 +20,9 @@ def distance(a, b):
 
 
 def edited(rng, text, times, letters="xyz"):
-    for _ in range(times):
+    for _ in range(times if text else 0):
         i, kind = rng.randrange(len(text)), rng.randrange(3)
-        text = text[:i] + (rng.choice(letters) if kind < 2 else "") + text[i + (kind != 0) :]
+        text = text[:i] + (rng.choice(letters) if kind < 2 else "") + text[i + (kind != 0) :] or "a"
     return text
 
 
