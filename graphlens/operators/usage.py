@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlens.functions.routes import blended_price, integration, normalise_route, route_saving
+from graphlens.functions.routes import integration, normalise_route, route_saving
 
 N = lambda: F.count(F.lit(1))
 
@@ -85,59 +85,59 @@ def saving_calls(log: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _dollars(card: str | None, digits: int = 4) -> Column:
-    return F.round(F.col("tokens_saved") * F.lit(blended_price(card) / 1e6), digits).alias("dollars_saved")
+def _dollars(price: Column, digits: int = 4) -> Column:
+    return F.round(F.col("tokens_saved") * price / 1e6, digits).alias("dollars_saved")
 
 
-def savings_by_route(log: DataFrame, as_of: datetime, hours: int = 24, card: str | None = None, k: int | None = 15) -> DataFrame:
+def savings_by_route(log: DataFrame, price: Column, as_of: datetime, hours: int = 24, k: int | None = 15) -> DataFrame:
     out = saving_calls(in_window(log, as_of, hours)).select(
-        "route", integration(F.col("route")).alias("integration"), "calls", "tokens_saved", _dollars(card)
+        "route", integration(F.col("route")).alias("integration"), "calls", "tokens_saved", _dollars(price)
     )
     return out.orderBy(F.col("tokens_saved").desc(), "route").limit(k) if k else out
 
 
-def savings_total(log: DataFrame, card: str | None = None) -> DataFrame:
+def savings_total(log: DataFrame, price: Column) -> DataFrame:
     """Tokens and dollars over everything in `log`; pass a window of it as needed."""
     return (
         saving_calls(log)
         .agg(F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("tokens_saved"))
-        .select("tokens_saved", _dollars(card, 2))
+        .select("tokens_saved", _dollars(price, 2))
     )
 
 
-def savings_by_token(log: DataFrame, as_of: datetime, hours: int = 24, card: str | None = None, k: int = 10) -> DataFrame:
+def savings_by_token(log: DataFrame, price: Column, as_of: datetime, hours: int = 24, k: int = 10) -> DataFrame:
     named = in_window(log, as_of, hours).withColumn("token_name", F.coalesce("token_name", F.lit("anonymous")))
     return (
         saving_calls(named, "token_id", "token_name")
         .groupBy("token_id", "token_name")
         .agg(F.sum("calls").alias("calls"), F.sum("tokens_saved").alias("tokens_saved"))
-        .select("token_id", "token_name", "calls", "tokens_saved", _dollars(card))
-        .orderBy(F.col("tokens_saved").desc(), "token_name")
+        .select("token_id", "token_name", "calls", "tokens_saved", _dollars(price))
+        .orderBy(F.col("tokens_saved").desc(), "token_name", "token_id")
         .limit(k)
     )
 
 
-def savings_by_integration(log: DataFrame, as_of: datetime, hours: int = 24, card: str | None = None) -> DataFrame:
+def savings_by_integration(log: DataFrame, price: Column, as_of: datetime, hours: int = 24) -> DataFrame:
     return (
         saving_calls(in_window(log, as_of, hours))
         .groupBy(integration(F.col("route")).alias("integration"))
         .agg(F.sum("calls").alias("calls"), F.sum("tokens_saved").alias("tokens_saved"))
-        .select("integration", "calls", "tokens_saved", _dollars(card))
+        .select("integration", "calls", "tokens_saved", _dollars(price))
     )
 
 
-def savings_daily(log: DataFrame, as_of: datetime, hours: int = 24, card: str | None = None) -> DataFrame:
+def savings_daily(log: DataFrame, price: Column, as_of: datetime, hours: int = 24) -> DataFrame:
     """One row per UTC day with savings; days without any are left out."""
     dated = in_window(log, as_of, hours).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return (
         saving_calls(dated, "day")
         .groupBy("day")
         .agg(F.sum("tokens_saved").alias("tokens_saved"))
-        .select("day", "tokens_saved", _dollars(card))
+        .select("day", "tokens_saved", _dollars(price))
     )
 
 
-def savings_summary(log: DataFrame, as_of: datetime, hours: int = 24, card: str | None = None) -> DataFrame:
+def savings_summary(log: DataFrame, price: Column, as_of: datetime, hours: int = 24) -> DataFrame:
     """One row with every savings report nested; each list is bounded by its report."""
 
     def nested(df: DataFrame, name: str, *order: Column) -> DataFrame:
@@ -147,18 +147,18 @@ def savings_summary(log: DataFrame, as_of: datetime, hours: int = 24, card: str
 
     down = (-F.col("tokens_saved")).alias("o")
     window = in_window(log, as_of, hours)
-    saving = savings_by_integration(log, as_of, hours, card)
+    saving = savings_by_integration(log, price, as_of, hours)
     parts = [
         window.agg(N().alias("total_calls")),
         saving.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("total_calls_saving")),
-        savings_total(window, card),
-        savings_total(log, card).select(
+        savings_total(window, price),
+        savings_total(log, price).select(
             F.col("tokens_saved").alias("lifetime_tokens_saved"), F.col("dollars_saved").alias("lifetime_dollars_saved")
         ),
-        nested(savings_by_route(log, as_of, hours, card), "by_route", down, F.col("route").alias("p")),
-        nested(savings_by_token(log, as_of, hours, card), "by_token", down, F.col("token_name").alias("p")),
+        nested(savings_by_route(log, price, as_of, hours), "by_route", down, F.col("route").alias("p")),
+        nested(savings_by_token(log, price, as_of, hours), "by_token", down, F.col("token_name").alias("p")),
         nested(saving, "by_integration", down, F.col("integration").alias("p")),
-        nested(savings_daily(log, as_of, hours, card), "daily", F.col("day").alias("o")),
+        nested(savings_daily(log, price, as_of, hours), "daily", F.col("day").alias("o")),
     ]
     out = parts[0]
     for p in parts[1:]:  # one row each

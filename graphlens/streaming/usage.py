@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.functions.routes import blended_price, normalise_route, route_saving
+from graphlens.functions.routes import normalise_route, route_saving
 
 DELAY = "10 minutes"
 
@@ -41,8 +41,8 @@ def trailing_day(hourly: DataFrame) -> DataFrame:
     )
 
 
-def daily_savings(log: DataFrame, card: str | None = None, delay: str = DELAY) -> DataFrame:
-    """Tokens and dollars spared per day; a day is final once the watermark passes it."""
+def daily_savings(log: DataFrame, price: float, delay: str = DELAY) -> DataFrame:
+    """Tokens and dollars (at `price` per million) spared per day; a day is final once the watermark passes it."""
     each = route_saving(normalise_route(F.col("route")))
     return (
         log.withWatermark("ts", delay)
@@ -52,7 +52,7 @@ def daily_savings(log: DataFrame, card: str | None = None, delay: str = DELAY) -
         .agg(F.sum("each").alias("tokens_saved"))
         .select(
             F.date_format("day.start", "yyyy-MM-dd").alias("day"), "tokens_saved",
-            F.round(F.col("tokens_saved") * F.lit(blended_price(card) / 1e6), 4).alias("dollars_saved"),
+            F.round(F.col("tokens_saved") * F.lit(price) / 1e6, 4).alias("dollars_saved"),
         )
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphlens.functions.bands import age_text, error_band
-from graphlens.functions.routes import PRICE_CARDS, blended_price, integration, normalise_route, route_saving
+from graphlens.functions.routes import blend, integration, normalise_route, price_of, route_saving
 from graphlens.operators import maintain, registry, runs, usage
 from workload import views
 from workload.harness import Bed, query
@@ -41,13 +41,17 @@ views.DUCK["v_week_savings"] = f"""
 SELECT log.*, m.each FROM {WEEK}
 JOIN v_saving_map m ON m.route = regexp_replace(regexp_replace(log.route, '/[0-9]+(/|$)', '/id\\1', 'g'), '/[0-9]+(/|$)', '/id\\1', 'g')
 """
-RATE = "(3.0 * 0.85 + 15.0 * (1 - 0.85)) / 1e6"
+RATE = "(SELECT max(per_in * 0.85 + per_out * (1 - 0.85)) FROM v_price_cards WHERE card = 'asia') / 1e6"
 
 
 def _log(bed: Bed):
     return bed.view("v_api_calls")
 
 
+def _price(bed: Bed):
+    return price_of(bed.view("v_price_cards"), "asia")
+
+
 @query("usage_totals", f"""
 SELECT count(*) AS total_calls, round(count(*) / 24.0, 1) AS calls_per_hour, count(DISTINCT token_name) AS distinct_tokens,
        round(100.0 * count(*) FILTER (status >= 400) / count(*), 1) AS error_rate_pct
@@ -97,7 +101,7 @@ SELECT route, CASE WHEN route LIKE '/v1/mcp%' THEN 'mcp' WHEN route LIKE '/v1/gr
 FROM v_week_savings GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 15
 """)
 def _(bed: Bed):
-    return usage.savings_by_route(_log(bed), bed.as_of(), WEEK_HOURS)
+    return usage.savings_by_route(_log(bed), _price(bed), bed.as_of(), WEEK_HOURS)
 
 
 @query("savings_lifetime", f"""
@@ -105,7 +109,7 @@ SELECT CAST(sum(each) AS BIGINT) AS tokens_saved, round(sum(each) * {RATE}, 2) A
 FROM v_api_calls JOIN v_saving_map USING (route)
 """)
 def _(bed: Bed):
-    return usage.savings_total(_log(bed))
+    return usage.savings_total(_log(bed), _price(bed))
 
 
 @query("savings_by_token", f"""
@@ -114,7 +118,7 @@ SELECT coalesce(CAST(token_id AS VARCHAR), '-') AS token_id, token_name, count(*
 FROM v_week_savings w GROUP BY w.token_id, token_name ORDER BY 4 DESC, 2 LIMIT 10
 """)
 def _(bed: Bed):
-    return usage.savings_by_token(_log(bed), bed.as_of(), WEEK_HOURS).withColumn("token_id", text("token_id"))
+    return usage.savings_by_token(_log(bed), _price(bed), bed.as_of(), WEEK_HOURS).withColumn("token_id", text("token_id"))
 
 
 BY_INTEGRATION = f"""
@@ -126,7 +130,7 @@ FROM v_week_savings GROUP BY 1
 
 @query("savings_by_integration", BY_INTEGRATION)
 def _(bed: Bed):
-    return usage.savings_by_integration(_log(bed), bed.as_of(), WEEK_HOURS)
+    return usage.savings_by_integration(_log(bed), _price(bed), bed.as_of(), WEEK_HOURS)
 
 
 @query("savings_daily", f"""
@@ -134,7 +138,7 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(each) AS BIGINT) AS tokens_save
 FROM v_week_savings GROUP BY 1
 """)
 def _(bed: Bed):
-    return usage.savings_daily(_log(bed), bed.as_of(), WEEK_HOURS)
+    return usage.savings_daily(_log(bed), _price(bed), bed.as_of(), WEEK_HOURS)
 
 
 @query("shares", f"""
@@ -143,13 +147,13 @@ SELECT integration, tokens_saved, round(100.0 * tokens_saved / sum(tokens_saved)
 FROM ({BY_INTEGRATION}) b
 """)
 def _(bed: Bed):
-    by = usage.savings_by_integration(_log(bed), bed.as_of(), WEEK_HOURS).select("integration", "tokens_saved")
+    by = usage.savings_by_integration(_log(bed), _price(bed), bed.as_of(), WEEK_HOURS).select("integration", "tokens_saved")
     return usage.shares(by, "tokens_saved")
 
 
 @query("savings_summary")
 def _(bed: Bed):
-    return usage.savings_summary(_log(bed), bed.as_of(), WEEK_HOURS)
+    return usage.savings_summary(_log(bed), _price(bed), bed.as_of(), WEEK_HOURS)
 
 
 @query("savings_summary_heads", f"""
@@ -158,7 +162,7 @@ SELECT (SELECT count(*) FROM {WEEK}) AS total_calls, count(*) AS total_calls_sav
 FROM v_week_savings
 """)
 def _(bed: Bed):
-    return usage.savings_summary(_log(bed), bed.as_of(), WEEK_HOURS).select(
+    return usage.savings_summary(_log(bed), _price(bed), bed.as_of(), WEEK_HOURS).select(
         "total_calls", "total_calls_saving", "tokens_saved", F.size("by_route").cast("bigint").alias("routes"),
         F.size("by_token").cast("bigint").alias("tokens"), F.size("daily").cast("bigint").alias("days"),
     )
@@ -187,21 +191,22 @@ def _(bed: Bed):
     return bed.view("v_requests").select("id", route_saving(F.coalesce("template", "path")).alias("saving"))
 
 
-@query("price_cards", f"""
-SELECT card, CAST(round(i * 0.85 + o * (1 - 0.85), 4) AS DOUBLE) AS per_million, CAST(round(t.tokens * (i * 0.85 + o * (1 - 0.85)) / 1e6, 2) AS DOUBLE) AS dollars
-FROM (VALUES ('standard', 3.0, 15.0), ('large', 15.0, 75.0), ('small', 0.8, 4.0), ('alternative', 2.5, 10.0),
-             ('alternative_small', 0.15, 0.6), ('long_context', 1.25, 10.0), ('unknown', 3.0, 15.0)) c(card, i, o)
-, (SELECT sum(each) AS tokens FROM v_week_savings) t
+@query("price_cards", """
+SELECT card, CAST(round(per_in * 0.85 + per_out * (1 - 0.85), 4) AS DOUBLE) AS per_million,
+       CAST(round(t.tokens * (per_in * 0.85 + per_out * (1 - 0.85)) / 1e6, 2) AS DOUBLE) AS dollars
+FROM v_price_cards, (SELECT sum(each) AS tokens FROM v_week_savings) t
 """)
 def _(bed: Bed):
     week = usage.in_window(_log(bed), bed.as_of(), WEEK_HOURS)
-    total = usage.savings_total(week).select("tokens_saved")
-    cards = F.array(*[
-        F.struct(F.lit(c).alias("card"), F.lit(blended_price(c)).alias("each")) for c in (*PRICE_CARDS, "unknown")
-    ])
-    return total.select("tokens_saved", F.explode(cards).alias("c")).select(
-        "c.card", F.round("c.each", 4).alias("per_million"), F.round(F.col("tokens_saved") * F.col("c.each") / 1e6, 2).alias("dollars")
-    )
+    tokens = usage.savings_total(week, _price(bed)).select("tokens_saved").scalar()
+    each = blend(F.col("per_in"), F.col("per_out"))
+    return bed.view("v_price_cards").select("card", F.round(each, 4).alias("per_million"), F.round(tokens * each / 1e6, 2).alias("dollars"))
+
+
+@query("price_unknown", "SELECT CAST(sum(each) AS BIGINT) AS tokens_saved, CAST(NULL AS DOUBLE) AS dollars_saved FROM v_week_savings")
+def _(bed: Bed):
+    week = usage.in_window(_log(bed), bed.as_of(), WEEK_HOURS)
+    return usage.savings_total(week, price_of(bed.view("v_price_cards"), "no such card"))
 
 
 @query("status_bands", f"""

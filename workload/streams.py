@@ -67,12 +67,12 @@ def _(bed: Bed):
 
 
 @query("stream_savings_daily", f"""
-SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(each) AS BIGINT) AS tokens_saved, round(sum(each) * (3.0 * 0.85 + 15.0 * (1 - 0.85)) / 1e6, 4) AS dollars_saved
+SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(each) AS BIGINT) AS tokens_saved, round(sum(each) * 7.5123 / 1e6, 4) AS dollars_saved
 FROM v_api_calls JOIN v_saving_map USING (route)
 GROUP BY 1 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= {END} - INTERVAL 10 MINUTE
 """)
 def _(bed: Bed):
-    return drain(usage_stream.daily_savings(_log(_events(bed))), "daily")
+    return drain(usage_stream.daily_savings(_log(_events(bed)), 7.5123), "daily")
 
 
 @query("stream_dedupe", "SELECT user_id, count(DISTINCT event_id) AS deliveries FROM events GROUP BY 1")

@@ -295,3 +295,9 @@ LEFT JOIN (SELECT repo_id, c AS cluster_id, CAST(sum(n) AS BIGINT) AS intra, CAS
 DUCK["v_reach"] = """
 SELECT repo_id, src, dst FROM {v_file_edges} WHERE src <> dst
 """
+
+# --- price cards: one per region, in dollars per million tokens
+
+SHARED["v_price_cards"] = """
+SELECT lower(r_name) AS card, CAST(1.5 + r_regionkey AS DOUBLE) AS per_in, CAST(6 + 3 * r_regionkey AS DOUBLE) AS per_out FROM {region}
+"""
