@@ -13,10 +13,23 @@ from pyspark.sql import functions as F
 
 from graphlens.session import cut
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+BATCH_CONF, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 U64 = np.uint64
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with 8 MB to a batch for Python, unless the session says otherwise.
+
+    Rows differ in size by four orders of magnitude, so a number of rows bounds
+    nothing, and Spark's own 64 MB are held several times over in every task.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) == BATCH_DEFAULT:
+        conf.set(BATCH_CONF, BATCH)
+    return df
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -132,7 +145,7 @@ def map_slices(
                         schema=arrow,
                     )
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def stamp(df: DataFrame, name: str = "_row") -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import map_slices
+from graphlens.llm.common import map_slices, slices, small_batches, text_buffers
 from graphlens.llm.text_features import NAMES, features
 
 BINS = 48
@@ -185,15 +184,13 @@ def fit(
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """`docs` with the model's score of each text, between 0 and 1."""
 
-    @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        from graphlens.llm.common import slices, text_buffers
-
-        raw, offsets = text_buffers(pa.array(text, pa.large_string(), from_pandas=True))
+    @F.arrow_udf("double")
+    def of(text: pa.Array) -> pa.Array:
+        raw, offsets = text_buffers(text)
         parts = [model.score(features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn(name, of(F.col(text_col).cast("string")))
+    return small_batches(docs).withColumn(name, of(F.col(text_col).cast("string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:

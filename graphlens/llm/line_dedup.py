@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import U64, Substrings, connected, mix
+from graphlens.llm.common import U64, Substrings, connected, mix, small_batches
 from graphlens.llm.edits import banded_pairs
 from graphlens.session import cut
 
@@ -116,7 +116,7 @@ def _first_signatures(docs: DataFrame, edits: int, least: int) -> DataFrame:
         if lines:
             yield from emit(lines, keys)
 
-    return docs.select("text").mapInArrow(run, "key long, side int, line long, gap long")
+    return small_batches(docs.select("text")).mapInArrow(run, "key long, side int, line long, gap long")
 
 
 def _rest_signatures(hot: DataFrame, edits: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _rest_signatures(hot: DataFrame, edits: int) -> DataFrame:
                     "key": mix(key ^ mix(parent[rows])).view(np.int64), "side": s, "line": line[rows], "gap": (at << 32) | n, "text": texts[rows],
                 })
 
-    return hot.select("key", "side", "line", "gap", "text").mapInPandas(run, "key long, side int, line long, gap long, text string")
+    return small_batches(hot.select("key", "side", "line", "gap", "text")).mapInPandas(run, "key long, side int, line long, gap long, text string")
 
 
 def _buckets(rows: DataFrame, bucket: int) -> DataFrame:
@@ -255,7 +255,7 @@ def near_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS,
                 near = pa.array(banded_pairs(*codes, edits) <= edits)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(near)
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(verify, "a long, b long")
 
 
 def repeats(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, bucket: int = BUCKET) -> DataFrame:
@@ -296,19 +296,17 @@ def dedup_lines(
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     taken = repeats(narrow, edits, least, bucket).withColumnsRenamed({"id": "_id", "version": "_version", "removed": "_removed"})
 
-    @F.pandas_udf("string")
-    def without(text: pd.Series, removed: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def without(text: pa.Array, removed: pa.Array) -> pa.Array:
         out = []
         for t, r in zip(text, removed, strict=True):
-            if r is None or t is None:
-                out.append(None)
-                continue
-            gone = set(r.tolist())
-            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
-        return pd.Series(out, dtype=object)
+            t, r = t.as_py(), r.as_py()
+            gone = set(r or ())
+            out.append(None if t is None or r is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
+        return pa.array(out, pa.string())
 
     text = F.col(text_col)
-    at = base.join(
+    at = small_batches(base).join(
         taken.hint("merge"),
         base[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_version")),
         "left",

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.skew import running_total
-from graphlens.llm.common import U64, mix, stamp
+from graphlens.llm.common import U64, mix, small_batches, stamp
 from graphlens.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -261,19 +262,15 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     word = re.compile(WORD)
 
-    @F.pandas_udf("array<string>")
-    def stretches(text: pd.Series, size: pd.Series, runs: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def stretches(text: pa.Array, size: pa.Array, runs: pa.Array) -> pa.Array:
         out = []
         for whole, n, wanted in zip(text, size, runs, strict=True):
-            if all(r["a"] == 0 and r["b"] == n for r in wanted):
-                out.append([whole] * len(wanted))
-                continue
-            spans = [m.span() for m in word.finditer(whole)]
-            out.append([
-                whole if (r["a"], r["b"]) == (0, n) else whole[spans[r["a"]][0] : spans[r["b"] - 1][1]] for r in wanted
-            ])
-        return pd.Series(out)
+            whole, n, wanted = whole.as_py(), n.as_py(), [(r["a"], r["b"]) for r in wanted.as_py()]
+            spans = [] if all(w == (0, n) for w in wanted) else [m.span() for m in word.finditer(whole)]
+            out.append([whole if (a, b) == (0, n) else whole[spans[a][0] : spans[b - 1][1]] for a, b in wanted])
+        return pa.array(out, pa.list_(pa.string()))
 
-    made = stored.join(runs, "_row").withColumn("_text", F.explode(stretches(f"carry_{text_col}", "size", "runs")))
+    made = small_batches(stored).join(runs, "_row").withColumn("_text", F.explode(stretches(f"carry_{text_col}", "size", "runs")))
     changed = {text_col: F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
     return made.select(*[(changed[c] if c in changed else F.col(f"carry_{c}")).alias(c) for c in names])

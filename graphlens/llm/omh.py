@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import FOLD, U64, Substrings, connected, map_slices, mix, per_row, words
+from graphlens.llm.common import FOLD, U64, Substrings, connected, map_slices, mix, per_row, small_batches, words
 from graphlens.llm.edits import banded
 from graphlens.session import cut
 
@@ -118,22 +117,21 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         return Substrings(FOLD[raw]).of(starts, ends).tolist()
 
     def verify(batches):
-        kept: dict[int, list[int]] = {}
-        for pdf in batches:
+        held, other = None, []
+        for batch in batches:
             near = []
-            for a, b, one, two in pdf[["a", "b", "text_a", "text_b"]].itertuples(index=False):
-                if b not in kept:
-                    kept.clear()
-                    kept[b] = word_keys(two)
-                x, y = word_keys(one), kept[b]
-                limit = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-                near.append(banded(x, y, limit) <= limit)
-            yield pdf.loc[near, ["a", "b"]]
+            for a, b, one, two in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if b.as_py() != held:
+                    held, other = b.as_py(), word_keys(two.as_py())
+                mine = word_keys(one.as_py())
+                limit = int((1 - similarity) * max(len(mine), len(other)) + 1e-9)
+                near.append(banded(mine, other, limit) <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b"
     )
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long")
+    return small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(verify, "a long, b long")
 
 
 def _longer(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.llm.common import small_batches
 from graphlens.session import cut
 
 KINDS = ("assign", "access", "hex", "token")
@@ -85,7 +86,7 @@ def scan(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCANNED, strict=True)], schema=SCANNED)
 
-    return docs.mapInArrow(
+    return small_batches(docs).mapInArrow(
         run, "row long, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, "
         "found array<struct<kind:int,start:long,end:long,key:long,strong:boolean>>",
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from collections.abc import Sequence
 
@@ -13,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.llm.common import small_batches
+
 CAPACITY = 1024
 PIECE = 256
 WINDOWS = 128
@@ -41,14 +44,22 @@ class ByteBpe:
     def __init__(self, spec: str, ranks: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(spec)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.spec, self.loaded = spec, None
+        with open(spec, encoding="utf-8") as text:
+            self.special = [t["content"] for t in json.load(text)["added_tokens"]]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        if self.loaded is None:
+            self.loaded = Tokenizer.from_file(self.spec)
+        return self.loaded
+
     def encode(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
@@ -192,4 +203,4 @@ def pack(
             yield flush()
 
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(run, SCHEMA.format(id=f"`{id_col}`"))
+    return small_batches(source).mapInArrow(run, SCHEMA.format(id=f"`{id_col}`"))

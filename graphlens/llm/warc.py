@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import backoff
+from graphlens.llm.common import backoff, small_batches
 from graphlens.session import cut, scratch_path
 
 DICTIONARY_FRAME = 0x184D2A5D
@@ -159,7 +159,7 @@ def write_records(
         if archive is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(archive.close(), MANIFEST, strict=True)], schema=MANIFEST)
 
-    return cut(rows.mapInArrow(run, "name string, records long, bytes long"))
+    return cut(small_batches(rows).mapInArrow(run, "name string, records long, bytes long"))
 
 
 # -- reading ---------------------------------------------------------------
