@@ -151,7 +151,7 @@ def _longer(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
         for chosen, kept, bands in kinds
     ]
     both = cut(made[0].unionByName(made[1]))
-    dealt = members.join(both, "content").select("content", "n", "size", "root", F.explode("keys").alias("key"))
+    dealt = members.hint("merge").join(both, "content").select("content", "n", "size", "root", F.explode("keys").alias("key"))
     several = dealt.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     return dealt.join(several, "key")
 
