@@ -7,34 +7,32 @@ from pyspark.sql import functions as F
 
 from graphlens.session import cut
 
-MAX_ROUNDS = 200
+TRIMS = 2
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges at nodes nothing enters or nothing leaves, until none is left."""
-    left = edges.count()
-    for _ in range(MAX_ROUNDS):
+    """Drop edges at nodes nothing enters or nothing leaves, a layer or two.
+
+    This only makes the labels cheaper: what lies on no cycle and is left here ends
+    up in a part of its own.
+    """
+    for _ in range(TRIMS):
         heads = edges.select("repo_id", F.col("dst").alias("src")).distinct()
         tails = edges.select("repo_id", F.col("src").alias("dst")).distinct()
-        edges = cut(
-            edges.join(heads, ["repo_id", "src"], "left_semi").join(tails, ["repo_id", "dst"], "left_semi")
-        )
-        now = edges.count()
-        if now == left:
-            return edges
-        left = now
-    raise RuntimeError(f"trimming did not settle in {MAX_ROUNDS} rounds")
+        edges = edges.join(heads, ["repo_id", "src"], "left_semi").join(tails, ["repo_id", "dst"], "left_semi")
+    return cut(edges)
 
 
 def _smallest_reaching(edges: DataFrame, part: DataFrame, forward: bool) -> DataFrame:
     """The smallest node of the same part that reaches (or is reached by) a node.
 
     Each round takes the best label of the neighbours and then the label of
-    that label, which doubles the distance covered.
+    that label, which doubles the distance covered. Labels only ever get smaller,
+    so the rounds end.
     """
     near, far = ("src", "dst") if forward else ("dst", "src")
     labels = part.select("repo_id", "node", F.col("node").alias("label"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         offered = (
             edges.select("repo_id", F.col(near).alias("node"), F.col(far).alias("to"))
             .join(labels, ["repo_id", "node"])
@@ -51,20 +49,18 @@ def _smallest_reaching(edges: DataFrame, part: DataFrame, forward: bool) -> Data
         labels = merged.select("repo_id", "node", "label")
         if merged.filter(F.col("label") != F.col("was")).isEmpty():
             return labels
-    raise RuntimeError(f"labels did not settle in {MAX_ROUNDS} rounds")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """Members of components with more than one node: (repo_id, component, path).
 
-    A component is named by its smallest member. Nodes on no cycle are trimmed;
-    the rest is split by the smallest node reaching each and the smallest node
+    A component is named by its smallest member. Ends are trimmed; the rest is split by the smallest node reaching each and the smallest node
     each reaches, until both agree everywhere, which leaves the components.
     """
     edges = edges.filter(F.col("src") != F.col("dst")).select("repo_id", "src", "dst").distinct()
     edges = cut(edges)
     done = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # the smallest node of every part is settled each time
         edges = _trim(edges)
         if edges.isEmpty():
             break

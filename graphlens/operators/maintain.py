@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.session import exists, remove
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Stored rows overlaid by incoming ones; the last incoming row of a key wins."""
@@ -92,6 +94,18 @@ def decode_detail(warnings: DataFrame) -> DataFrame:
     return warnings.withColumn("detail", F.from_json("detail_json", DETAIL)).drop("detail_json")
 
 
-def full_rebuild(df: DataFrame, location: str) -> None:
-    """Replace the repos present in `df` in the table at `location`; others stay."""
+def full_rebuild(df: DataFrame, location: str, rebuilt: DataFrame | None = None) -> None:
+    """Replace the repos in `rebuilt` (repo_id), or else those in `df`, in the table at `location`; others stay.
+
+    A repo that was rebuilt and has no rows left loses those it had. Only the ids of
+    such repos reach the driver, which deletes their partitions.
+    """
+    spark = df.sparkSession
+    emptied = []
+    if rebuilt is not None and exists(spark, location):
+        rest = rebuilt.select("repo_id").distinct().join(df.select("repo_id").distinct(), "repo_id", "left_anti")
+        emptied = [r.repo_id for r in rest.collect()]
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(location)
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for repo in emptied:
+        remove(spark, f"{location}/repo_id={escape(repo)}")

@@ -49,16 +49,33 @@ def resolve_calls(sites: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def stale_calls(calls: DataFrame, sites: DataFrame, functions: DataFrame) -> DataFrame:
-    """Edges no call site supports any more; edges refined by definition stay."""
-    named = calls.join(
-        named_functions(functions).withColumnRenamed("fn", "dst"), ["repo_id", "dst"]
-    )
-    if "precise" in calls.columns:
-        named = named.filter(~F.coalesce("precise", F.lit(False)))
+    """Edges that no longer stand.
+
+    Either end has vanished, or no call site supports the edge any more. Edges
+    refined by definition need no call site, but both ends.
+    """
+    ends = named_functions(functions)
+    callers = ends.select("repo_id", F.col("fn").alias("src"), F.lit(True).alias("_caller"))
+    targets = ends.select("repo_id", F.col("fn").alias("dst"), "name")
     written = sites.select(
-        "repo_id", F.col("caller_qname").alias("src"), F.col("callee_name").alias("name")
+        "repo_id", F.col("caller_qname").alias("src"), F.col("callee_name").alias("name"), F.lit(True).alias("_written")
     ).distinct()
-    return named.join(written, ["repo_id", "src", "name"], "left_anti").select(*calls.columns)
+    known = calls.join(targets, ["repo_id", "dst"], "left").join(callers, ["repo_id", "src"], "left").join(
+        written, ["repo_id", "src", "name"], "left"
+    )
+    refined = F.coalesce(F.col("precise"), F.lit(False)) if "precise" in calls.columns else F.lit(False)
+    gone = F.col("name").isNull() | F.col("_caller").isNull() | (F.col("_written").isNull() & ~refined)
+    return known.filter(gone).select(*calls.columns)
+
+
+def current_calls(stored: DataFrame | None, sites: DataFrame, functions: DataFrame) -> DataFrame:
+    """(repo_id, src, dst, line, precise): the edges the names give now, and the stored refined ones that still stand."""
+    named = resolve_calls(sites, functions).withColumn("precise", F.lit(False))
+    if stored is None:
+        return named
+    refined = stored.filter("precise")
+    kept = refined.join(stale_calls(refined, sites, functions), ["repo_id", "src", "dst"], "left_anti")
+    return named.join(kept, ["repo_id", "src", "dst"], "left_anti").unionByName(kept.select(*named.columns))
 
 
 def defines_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:

@@ -17,8 +17,6 @@ from graphlens.functions.modules import short_name
 from graphlens.operators.resolve import named_functions, written_calls
 from graphlens.session import cut
 
-MAX_DEPTH = 4
-
 
 @dataclass
 class CallNames:
@@ -36,6 +34,11 @@ class CallNames:
         calls = written_calls(sites, functions).select("repo_id", "caller", "name")
         return cls(cut(calls), cut(named_functions(functions)))
 
+    def within(self, repo_id: str) -> CallNames:
+        """One repo's part, so that no hop of a question about it reads another's."""
+        mine = F.col("repo_id") == repo_id
+        return CallNames(self.calls.filter(mine), self.names.filter(mine))
+
 
 def _sides(graph: CallNames, upward: bool) -> tuple[DataFrame, DataFrame]:
     """How a hop enters a name from a function, and how it leaves to the next one."""
@@ -47,21 +50,28 @@ def _sides(graph: CallNames, upward: bool) -> tuple[DataFrame, DataFrame]:
 def opened_names(graph: CallNames, seeds: DataFrame, depth: int, upward: bool) -> DataFrame:
     """Names crossed within `depth` hops of each start: (repo_id, start, name, hops).
 
-    `seeds` holds (repo_id, start, fn). A name is kept with its first hop only.
+    `seeds` holds (repo_id, start, fn). A name is kept with its first hop only. Any
+    depth may be asked for; hops end when none leads to a name not yet opened.
     """
+    if depth < 1:
+        raise ValueError("depth starts at 1")
     enter, leave = _sides(graph, upward)
     frontier = seeds.select("repo_id", "start", F.col("fn").alias("at"))
     opened: list[DataFrame] = []
-    for hop in range(1, max(1, min(MAX_DEPTH, depth)) + 1):
+    for hop in range(1, depth + 1):
         names = frontier.join(enter, ["repo_id", "at"]).select("repo_id", "start", "name").distinct()
         for earlier in opened:
             names = names.join(earlier, ["repo_id", "start", "name"], "left_anti")
         if hop < depth:
             names = cut(names)
+            if names.isEmpty():
+                break
             frontier = (
                 names.join(leave, ["repo_id", "name"]).select("repo_id", "start", F.col("to").alias("at")).distinct()
             )
         opened.append(names)
+    if not opened:
+        return names.withColumn("hops", F.lit(1))
     out = opened[0].withColumn("hops", F.lit(1))
     for i, names in enumerate(opened[1:], 2):
         out = out.unionByName(names.withColumn("hops", F.lit(i)))
@@ -86,6 +96,7 @@ def reach(graph: CallNames, seeds: DataFrame, depth: int, upward: bool) -> DataF
 def _neighbours(
     graph: CallNames, functions: DataFrame, repo_id: str, qualified_name: str, depth: int, limit: int, upward: bool
 ) -> DataFrame:
+    graph = graph.within(repo_id)
     at = functions.filter((F.col("repo_id") == repo_id) & (F.col("qualified_name") == qualified_name))
     seeds = at.select("repo_id", F.col("qualified_name").alias("start"), F.col("qualified_name").alias("fn")).distinct()
     met = reach(graph, seeds, depth, upward)
@@ -128,7 +139,9 @@ def _file_pairs(graph: CallNames, functions: DataFrame, starts: DataFrame, depth
 
 
 def _affected(graph, functions, files, repo_id, path, depth, limit, upward) -> DataFrame:
-    start = files.filter((F.col("repo_id") == repo_id) & (F.col("path") == path))
+    mine = F.col("repo_id") == repo_id
+    graph, functions, files = graph.within(repo_id), functions.filter(mine), files.filter(mine)
+    start = files.filter(F.col("path") == path)
     return (
         _file_pairs(graph, functions, start, depth, upward)
         .join(files.select("repo_id", "path", "language"), ["repo_id", "path"])

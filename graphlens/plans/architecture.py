@@ -30,9 +30,12 @@ class Map:
         return arch.arch_stats(self.sources, self.edges, self.membership, self.warnings)
 
     def store(self, root: str) -> None:
-        """Replace what `root` holds for the repos of this map; other repos stay."""
+        """Replace what `root` holds for the repos of this map; other repos stay.
+
+        A repo that has lost its last warning or edge has none stored either.
+        """
         for name in ("clusters", "membership", "cluster_edges", "cycle_files", "warnings"):
-            full_rebuild(getattr(self, name), f"{root}/{name}")
+            full_rebuild(getattr(self, name), f"{root}/{name}", self.sources)
 
 
 def compute(

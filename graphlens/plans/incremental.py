@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.operators import extract
 from graphlens.operators.maintain import purge_files
+from graphlens.operators.resolve import current_calls
+from graphlens.session import cut, forget
 from graphlens.sources.trees import fingerprint, snapshot_diff
 
 
@@ -22,21 +23,23 @@ class Graph:
     classes: DataFrame
     imports: DataFrame
     call_sites: DataFrame
+    calls: DataFrame | None = None
     parsed: DataFrame | None = None
 
     @classmethod
     def of(cls, sources: DataFrame) -> Graph:
-        """A full ingest of source files (repo_id, path, content), parsed once."""
-        parsed = extract.lines(sources).persist(StorageLevel.MEMORY_AND_DISK)
+        """A full ingest of source files (repo_id, path, content), parsed once and stored."""
+        parsed = cut(extract.parsed(sources))
+        functions, sites = extract.extract_functions(sources, parsed), extract.extract_call_sites(sources, parsed)
         return cls(
-            fingerprint(sources), extract.extract_functions(sources, parsed), extract.extract_classes(sources, parsed),
-            extract.extract_imports(sources), extract.extract_call_sites(sources, parsed), parsed,
+            fingerprint(sources), functions, extract.extract_classes(sources, parsed), extract.extract_imports(sources, parsed), sites,
+            current_calls(None, sites, functions), parsed,
         )
 
     def release(self) -> None:
-        """Drop the parsed text kept for writing the tables."""
+        """Delete what was parsed, once the tables are written."""
         if self.parsed is not None:
-            self.parsed.unpersist()
+            forget(self.parsed)
 
     def tables(self) -> dict[str, DataFrame]:
         return {k: getattr(self, k) for k in ("files", "functions", "classes", "imports", "call_sites")}
@@ -47,7 +50,9 @@ def update(stored: Graph, sources: DataFrame) -> tuple[Graph, DataFrame]:
 
     Only new and changed files are extracted. Rows belong to the file they came
     from, so dropping the rows of changed and removed files and adding the
-    fresh ones gives what a full ingest would.
+    fresh ones gives what a full ingest would. Call edges are resolved anew, as a
+    name may have got or lost a bearer anywhere in the repo; refined edges stay while
+    both their ends do.
     """
     states = snapshot_diff(stored.files, fingerprint(sources))
     gone = states.filter(F.col("state").isin("changed", "removed")).select("repo_id", "path")
@@ -57,4 +62,5 @@ def update(stored: Graph, sources: DataFrame) -> tuple[Graph, DataFrame]:
         name: purge_files(table, gone, "path" if name == "files" else "file_path").unionByName(fresh.tables()[name])
         for name, table in stored.tables().items()
     }
-    return Graph(**merged, parsed=fresh.parsed), states
+    calls = current_calls(stored.calls, merged["call_sites"], merged["functions"])
+    return Graph(**merged, calls=calls, parsed=fresh.parsed), states

@@ -32,7 +32,7 @@ def build_session(app: str = "graphlens", master: str | None = None, **conf: str
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it.
 
-    Only a local session with no such setting falls back to a folder of its own.
+    Without the setting a local session makes itself a folder of its own, once.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
@@ -42,7 +42,8 @@ def shared_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    return tempfile.mkdtemp(prefix="graphlens-")
+    spark.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="graphlens-"))
+    return spark.conf.get(CHECKPOINT_CONF)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -61,3 +62,27 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _storage(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _storage(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or a partition of one, wherever it is stored."""
+    files, at = _storage(spark, path)
+    files.delete(at, True)
+
+
+def forget(*steps: DataFrame) -> None:
+    """Delete tables that `cut` has written, once nothing reads them any more."""
+    for step in steps:
+        for path in {f.rsplit("/", 1)[0] for f in step.inputFiles()}:
+            if "/graphlens/step-" in path:
+                remove(step.sparkSession, path)

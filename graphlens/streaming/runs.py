@@ -16,30 +16,29 @@ ACTION = {"queued": "requeue", "running": "fail"}
 
 
 def _watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Remember the last status of a run; report it when it has stood too long by event time."""
+    """Remember the last change of a run by sequence; report it when it has stood too long by event time.
+
+    A finished run is remembered until the watermark has passed its end, as an older
+    change may still arrive until then.
+    """
     if state.hasTimedOut:
-        status, since = state.get
+        _, status, since = state.get
         state.remove()
-        yield pd.DataFrame({"run_id": [key[0]], "action": [ACTION[status]], "since": [pd.Timestamp(since, unit="ms")]})
+        if status in AGE:
+            yield pd.DataFrame({"run_id": [key[0]], "action": [ACTION[status]], "since": [pd.Timestamp(since, unit="ms")]})
         return
-    latest = None
+    last = state.get if state.exists else None
     for pdf in parts:
         row = pdf.loc[pdf["seq"].idxmax()]
-        if latest is None or row.seq > latest.seq:
-            latest = row
-    since = int(latest.ts.timestamp() * 1000)
-    if state.exists and state.get[1] > since:
-        state.setTimeoutTimestamp(_due(*state.get, state))
-    elif latest.status in AGE:
-        state.update((latest.status, since))
-        state.setTimeoutTimestamp(_due(latest.status, since, state))
-    elif state.exists:
-        state.remove()
+        if last is None or row.seq > last[0]:
+            last = (int(row.seq), row.status, int(row.ts.timestamp() * 1000))
+    state.update(last)
+    state.setTimeoutTimestamp(_due(last[1], last[2], state))
 
 
 def _due(status: str, since: int, state: GroupState) -> int:
     """When to report: never before the watermark, which a timer must lie beyond."""
-    return max(since + AGE[status] * 1000, state.getCurrentWatermarkMs() + 1)
+    return max(since + AGE.get(status, 0) * 1000, state.getCurrentWatermarkMs() + 1)
 
 
 def stuck_runs(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -47,5 +46,5 @@ def stuck_runs(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return (
         changes.withWatermark("ts", delay)
         .groupBy("run_id")
-        .applyInPandasWithState(_watch, OUT, "status string, since bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(_watch, OUT, "seq bigint, status string, since bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )

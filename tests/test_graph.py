@@ -142,11 +142,36 @@ def test_communities(spark):
 def test_communities_do_not_depend_on_partitions_and_raise_modularity(spark):
     pairs = [(f"n{i:02}", f"n{(i * 7 + 3) % 30:02}") for i in range(30)] + [(f"n{i:02}", f"n{(i + 1) % 30:02}") for i in range(30)]
     e = edges(spark, *[(a, b) for a, b in pairs if a != b])
-    first = communities(e, max_levels=2, rounds=4)
-    again = communities(e.repartition(5), max_levels=2, rounds=4)
+    first = communities(e)
+    again = communities(e.repartition(5))
     assert first.exceptAll(again).isEmpty()
     assert first.select("repo_id", "path").distinct().count() == first.count() == 30
     arcs = _both_ways(arch.undirected_edges(e))
     found = modularity(arcs, first.select("repo_id", F.col("path").alias("node"), F.col("cluster_id").alias("label"))).first().q
     alone = modularity(arcs, first.select("repo_id", F.col("path").alias("node"), F.col("path").alias("label"))).first().q
     assert found > alone
+
+
+def test_long_chains_settle(spark):
+    chain = edges(spark, *[(f"n{i:04}", f"n{i + 1:04}") for i in range(1000)])
+    ring = edges(spark, *[(f"n{i:04}", f"n{(i + 1) % 300:04}") for i in range(300)], repo="s")
+    assert {(r.repo_id, r.component) for r in cycles(chain.unionByName(ring)).collect()} == {("s", "n0000")}
+
+
+def test_any_depth(spark):
+    names = [f"m.f{i}" for i in range(9)]
+    functions, sites = calls_of(spark, [(n, "m.py") for n in names], [(f"m.f{i}", f"f{i + 1}") for i in range(8)])
+    g = traverse.CallNames.of(sites, functions)
+    met = lambda d: [r.qn for r in traverse.callees_of(g, functions, "r", "m.f0", d).collect()]
+    assert met(7) == names[1:8] and met(50) == names[1:]
+
+
+def test_edges_to_what_is_gone_are_stale(spark):
+    functions, sites = calls_of(spark, [("m.f", "a.py"), ("m.g", "b.py"), ("m.k", "b.py")], [("m.f", "g"), ("m.f", "gone")])
+    calls = spark.createDataFrame(
+        [("r", "m.f", "m.g", 1, False), ("r", "m.f", "m.gone", 1, False), ("r", "m.left", "m.g", 1, False), ("r", "m.f", "m.k", 1, False), ("r", "m.k", "m.f", 1, True), ("r", "m.k", "m.gone", 1, True)],
+        "repo_id string, src string, dst string, line int, precise boolean",
+    )
+    assert {(r.src, r.dst) for r in resolve.stale_calls(calls, sites, functions).collect()} == {("m.f", "m.gone"), ("m.left", "m.g"), ("m.f", "m.k"), ("m.k", "m.gone")}
+    kept = {(r.src, r.dst, r.precise) for r in resolve.current_calls(calls, sites, functions).collect()}
+    assert kept == {("m.f", "m.g", False), ("m.k", "m.f", True)}

@@ -26,3 +26,36 @@ def test_map_is_computed_stored_and_replaced(spark, tmp_path):
     }
     assert spark.read.parquet(f"{root}/membership").count() == 6
     assert spark.read.parquet(f"{root}/cycle_files").count() == 4
+
+
+def test_a_rebuilt_repo_loses_what_it_no_longer_has(spark, tmp_path):
+    from graphlens.operators.maintain import full_rebuild
+
+    root = str(tmp_path / "t")
+    of = lambda *rows: spark.createDataFrame(rows, "repo_id string, x int")
+    full_rebuild(of(("r/1 a", 1), ("s", 2), ("t", 3)), root)
+    full_rebuild(of(("s", 4)), root, of(("r/1 a", 0), ("s", 0)))
+    assert {(r.repo_id, r.x) for r in spark.read.schema("x int, repo_id string").parquet(root).collect()} == {("s", 4), ("t", 3)}
+
+
+def test_batches_survive_restarts_and_replays(spark, tmp_path):
+    from graphlens.streaming.ingest import apply_batch, read
+
+    batch = lambda *rows: spark.createDataFrame(rows, "repo_id string, path string, content string, seq int")
+    one = batch(("r", "a.py", "def f():\n    return g()\n", 1), ("r", "b.py", "def g():\n    pass\n", 1), ("s", "c.py", "def h():\n    h()\n", 1))
+    two = batch(("r", "b.py", "def g2():\n    pass\n", 2), ("r", "b.py", "old", 1), ("r", "d.py", "def g():\n    'doc'\n", 2))
+    three = batch(("r", "a.py", None, 3))
+    root = str(tmp_path / "graph")  # nothing but the folder passes from batch to batch
+
+    def state():
+        g = read(spark, root)
+        return sorted(r.qualified_name for r in g.functions.collect()), sorted((r.src, r.dst) for r in g.calls.collect()), sorted(r.path for r in g.files.collect())
+
+    apply_batch(root, one)
+    assert state() == (["a.f", "b.g", "c.h"], [("a.f", "b.g"), ("c.h", "c.h")], ["a.py", "b.py", "c.py"])
+    for _ in range(2):
+        apply_batch(root, two)
+        assert state() == (["a.f", "b.g2", "c.h", "d.g"], [("a.f", "d.g"), ("c.h", "c.h")], ["a.py", "b.py", "c.py", "d.py"])
+    apply_batch(root, three)
+    assert state() == (["b.g2", "c.h", "d.g"], [("c.h", "c.h")], ["b.py", "c.py", "d.py"])
+    assert {r.doc for r in read(spark, root).functions.collect()} == {None, "doc"}

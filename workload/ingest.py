@@ -27,6 +27,11 @@ def rendered(bed: Bed) -> DataFrame:
     return bed.stored("rendered", lambda: _render(bed))
 
 
+def parsed(bed: Bed) -> DataFrame:
+    """What those texts hold, read once for all queries of a session."""
+    return bed.stored("parsed", lambda: extract.parsed(rendered(bed)))
+
+
 def _render(bed: Bed) -> DataFrame:
     f = bed.view("v_placed_functions")
     pad = F.when(F.col("is_method"), "    ").otherwise("")
@@ -66,10 +71,10 @@ LEFT JOIN (SELECT repo_id, caller_qname AS node, max(line) AS k FROM v_call_site
 
 
 @query("extract_functions", """
-SELECT repo_id, file_path, name, qualified_name, start_line, end_line, is_method, is_async, class_qname FROM v_found_functions
+SELECT repo_id, file_path, name, qualified_name, start_line, end_line, is_method, is_async, class_qname, doc FROM v_found_functions
 """)
 def _(bed: Bed):
-    return extract.extract_functions(rendered(bed)).withColumn("class_qname", F.coalesce("class_qname", F.lit("-"))).drop("body_sha")
+    return extract.extract_functions(rendered(bed), parsed(bed)).withColumn("class_qname", F.coalesce("class_qname", F.lit("-"))).drop("body_sha")
 
 
 @query("extract_body_sha", """
@@ -85,7 +90,7 @@ SELECT f.repo_id, f.qualified_name, sha1(concat(CASE WHEN f.is_async THEN 'async
 FROM v_found_functions f LEFT JOIN b ON b.repo_id = f.repo_id AND b.node = f.node
 """)
 def _(bed: Bed):
-    return extract.extract_functions(rendered(bed)).select("repo_id", "qualified_name", "body_sha")
+    return extract.extract_functions(rendered(bed), parsed(bed)).select("repo_id", "qualified_name", "body_sha")
 
 
 @query("extract_classes", """
@@ -94,7 +99,7 @@ FROM v_classes c JOIN (SELECT repo_id, file_path, max(end_line) AS e FROM v_foun
   ON f.repo_id = c.repo_id AND f.file_path = c.file_path
 """)
 def _(bed: Bed):
-    return extract.extract_classes(rendered(bed))
+    return extract.extract_classes(rendered(bed), parsed(bed)).drop("doc")
 
 
 @query("extract_call_sites", """
@@ -102,7 +107,7 @@ SELECT DISTINCT s.repo_id, s.file_path, f.qualified_name AS caller_qname, s.call
 FROM v_call_sites s JOIN v_found_functions f ON f.repo_id = s.repo_id AND f.node = s.caller_qname
 """)
 def _(bed: Bed):
-    return extract.extract_call_sites(rendered(bed)).drop("character")
+    return extract.extract_call_sites(rendered(bed), parsed(bed)).drop("character")
 
 
 @query("extract_imports", """
@@ -110,12 +115,12 @@ SELECT repo_id, file_path, module, CASE WHEN module LIKE 'ext.%' THEN 'e' ELSE '
 UNION ALL SELECT repo_id, file_path, '..near', '-', true FROM v_classes
 """)
 def _(bed: Bed):
-    return extract.extract_imports(rendered(bed)).withColumn("alias", F.coalesce("alias", F.lit("-")))
+    return extract.extract_imports(rendered(bed), parsed(bed)).withColumn("alias", F.coalesce("alias", F.lit("-")))
 
 
 @query("extract_docs", "SELECT repo_id, file_path, qualified_name, doc FROM v_found_functions")
 def _(bed: Bed):
-    return extract.extract_docs(rendered(bed))
+    return extract.extract_docs(rendered(bed), parsed(bed))
 
 
 @query("ingest_stats", """

@@ -124,9 +124,8 @@ def _(bed: Bed):
     then = files.join(keep, ["repo_id", "path"]).select("repo_id", "path", F.when(F.col("m") >= 26, F.col("content")).alias("content"), F.lit(2).alias("seq"))
     first.write.parquet(f"{folder}/a")
     then.write.parquet(f"{folder}/b")
-    store = live.Store(bed.spark, scratch_path(bed.spark, "graph"))
-    for part in ("a", "b"):  # one run of the stream per arrival
+    root = scratch_path(bed.spark, "graph")
+    for part in ("a", "b"):  # a stream of its own per arrival, as after a restart
         arrivals = bed.spark.readStream.schema(first.schema).parquet(f"{folder}/{part}")
-        start = store.version + 1
-        drain_batches(arrivals, f"ingest-{part}", lambda df, i, start=start: live.apply_batch(store, df, start + i))
-    return store.read().functions.select("repo_id", "file_path", "qualified_name")
+        drain_batches(arrivals, f"ingest-{part}", lambda df, i: live.apply_batch(root, df))
+    return live.read(bed.spark, root).functions.select("repo_id", "file_path", "qualified_name")
