@@ -7,6 +7,8 @@ import pytest
 import compare
 from workload import ORACLES, QUERIES
 
+# rules that need not find anything in the smallest tables
+MAY_BE_EMPTY = {n for n in QUERIES if n.startswith("warn")} | {"cycles"}
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -18,8 +20,7 @@ def con():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     found = compare.check(spark, con, name, SF)
-    # a rule may find nothing in the smallest tables; larger ones are checked by hand
-    assert found in (None, "both empty")
+    assert found is None or (found == "both empty" and name in MAY_BE_EMPTY)
 
 
 def test_every_oracle_has_a_query():

@@ -19,9 +19,6 @@ from workload.harness import Bed, query
 
 # --- slugs, lists, text ------------------------------------------------------
 
-views.SHARED["v_titles"] = """
-SELECT doc_id, lang, source, left(text, 90) AS title, text FROM {documents}
-"""
 SLUG_SQL = "left(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_-]+', '-', 'g'), '-+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 63)"
 
 
@@ -39,13 +36,13 @@ def _(bed: Bed):
 
 
 @query("slug_valid", f"""
-SELECT doc_id, regexp_matches(left(text, 30), '^[a-z0-9][a-z0-9_-]{{0,62}}$') AS raw_ok,
+SELECT doc_id, regexp_matches(text, '^[a-z0-9][a-z0-9_-]{{0,62}}$') AS raw_ok,
        regexp_matches({SLUG_SQL.format('text')}, '^[a-z0-9][a-z0-9_-]{{0,62}}$') AS slug_ok
 FROM documents
 """)
 def _(bed: Bed):
     return bed.table("documents").select(
-        "doc_id", tx.slug_valid(F.left("text", F.lit(30))).alias("raw_ok"), tx.slug_valid(tx.slugify(F.col("text"))).alias("slug_ok")
+        "doc_id", tx.slug_valid(F.col("text")).alias("raw_ok"), tx.slug_valid(tx.slugify(F.col("text"))).alias("slug_ok")
     )
 
 

@@ -9,6 +9,7 @@ from graphlens.operators import architecture as arch
 from graphlens.operators import resolve, traverse
 from graphlens.operators.communities import communities
 from graphlens.operators.components import cycles
+from workload import views
 from workload.harness import Bed, query
 
 # --- joins -------------------------------------------------------------------
@@ -317,33 +318,39 @@ def _(bed: Bed):
     return arch.directory_edges(bed.view("v_files"))
 
 
-# one repo in the registry has no files, and edges of europe and asia are left out
+# every repo is there a second time with its files alone, and nations have no files,
 # so that each of the three sources of edges occurs
-THIN = "SELECT * FROM v_file_edges WHERE repo_id NOT IN ('europe', 'asia')"
-SOURCES = f"""
+views.SHARED["v_files_twice"] = """
+SELECT repo_id, path FROM {v_files} UNION ALL SELECT concat(repo_id, '-bare') AS repo_id, path FROM {v_files}
+"""
+SOURCES = """
 SELECT repo_id, CASE WHEN coalesce(e.n, 0) >= 2 THEN 'calls+imports' WHEN f.n > 0 THEN 'directory_fallback' ELSE 'no_files' END AS edge_source
-FROM (SELECT lower(r_name) AS repo_id FROM region UNION ALL SELECT lower(n_name) FROM nation) r
-LEFT JOIN (SELECT repo_id, count(*) AS n FROM ({THIN}) t GROUP BY 1) e USING (repo_id)
-LEFT JOIN (SELECT repo_id, count(*) AS n FROM v_files GROUP BY 1) f USING (repo_id)
+FROM (SELECT lower(r_name) AS repo_id FROM region UNION ALL SELECT concat(lower(r_name), '-bare') FROM region UNION ALL SELECT lower(n_name) FROM nation) r
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM v_file_edges GROUP BY 1) e USING (repo_id)
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM v_files_twice GROUP BY 1) f USING (repo_id)
 """
 
 
+def _repos_twice(bed: Bed):
+    code = _code_repos(bed)
+    return code.unionByName(code.select(F.concat("repo_id", F.lit("-bare")).alias("repo_id"))).unionByName(
+        bed.table("nation").select(F.lower("n_name").alias("repo_id"))
+    )
+
+
 @query("edge_source", SOURCES)
 def _(bed: Bed):
-    repos = _code_repos(bed).unionByName(bed.table("nation").select(F.lower("n_name").alias("repo_id")))
-    thin = _file_edges(bed).filter(~F.col("repo_id").isin("europe", "asia"))
-    return arch.edge_source(repos, bed.view("v_files"), thin)
+    return arch.edge_source(_repos_twice(bed), bed.view("v_files_twice"), _file_edges(bed))
 
 
 @query("chosen_edges", f"""
 SELECT e.repo_id, e.src, e.dst, e.weight, e.edge_source
-FROM (SELECT *, 'calls+imports' AS edge_source FROM ({THIN}) t
-      UNION ALL SELECT *, 'directory_fallback' FROM ({DIRECTORY_EDGES}) d) e
+FROM (SELECT *, 'calls+imports' AS edge_source FROM v_file_edges t
+      UNION ALL SELECT *, 'directory_fallback' FROM ({DIRECTORY_EDGES.replace("v_files", "v_files_twice")}) d) e
 JOIN ({SOURCES}) s ON s.repo_id = e.repo_id AND s.edge_source = e.edge_source
 """)
 def _(bed: Bed):
-    thin = _file_edges(bed).filter(~F.col("repo_id").isin("europe", "asia"))
-    return arch.chosen_edges(_code_repos(bed), bed.view("v_files"), thin)
+    return arch.chosen_edges(_repos_twice(bed), bed.view("v_files_twice"), _file_edges(bed))
 
 
 @query("undirected_edges", """

@@ -70,7 +70,7 @@ FROM {lineitem} a
 JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 JOIN {v_functions} a1 ON a1.fid = a.l_partkey
 JOIN {v_functions} b1 ON b1.fid = b.l_partkey AND a1.repo_id = b1.repo_id
-WHERE a.l_returnflag = 'A'
+WHERE a.l_returnflag <> 'R'
 """
 
 SHARED["v_definitions"] = """
