@@ -23,7 +23,7 @@ HEADLINE = (
     "resolve_calls file_call_edges resolve_imports file_dependency_edges innermost_function upgrade_edges has_method_edges "
     "callers_of blast_radius blast_radius_all entry_points graph_stats file_fan cluster_metrics cluster_edges warn_fan_in warn_sdp "
     "usage_totals top_tokens top_endpoints savings_by_route savings_by_token savings_daily latest_run source_progress source_failures "
-    "link_repos match_events snapshot_diff webhook_verify extract_functions extract_call_sites text_index keyword_search semantic_search "
+    "link_repos match_events snapshot_diff webhook_verify extract_functions extract_classes extract_imports extract_call_sites cycles stream_ingest text_index keyword_search semantic_search "
     "stream_hourly_usage"
 ).split()
 

@@ -154,7 +154,7 @@ def test_communities_do_not_depend_on_partitions_and_raise_modularity(spark):
 
 def test_long_chains_settle(spark):
     chain = edges(spark, *[(f"n{i:04}", f"n{i + 1:04}") for i in range(1000)])
-    ring = edges(spark, *[(f"n{i:04}", f"n{(i + 1) % 300:04}") for i in range(300)], repo="s")
+    ring = edges(spark, *[(f"n{i:04}", f"n{(i + 1) % 40:04}") for i in range(40)], repo="s")
     assert {(r.repo_id, r.component) for r in cycles(chain.unionByName(ring)).collect()} == {("s", "n0000")}
 
 
