@@ -1,6 +1,7 @@
 """The pivot index and the threshold algorithm against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphlens.llm import pivots, threshold
@@ -59,6 +60,22 @@ def test_recall_at_the_threshold():
     assert (shared >= pivots.SHARED).mean() > 0.99
 
 
+@pytest.mark.parametrize("share", [0.1, 0.33])
+def test_recall_in_a_large_group(spark, share):
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(4000, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    group = int(share * len(rows))
+    turn = rng.normal(size=(group, 64))
+    rows[:group] = rows[-1] + 0.2 * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    pairs = (unit @ unit.T >= 0.95).sum() - len(rows)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = pivots.near_duplicates(df, chunk=300).agg(F.sum("n_links")).first()[0]
+    print(share, pairs, found / pairs)
+    assert 0.99 * pairs <= found <= pairs
+
+
 def test_repeated_vectors_count(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in (5, 3, 9)] + [(3, [1.0, 2.0]), (4, [2.0, 4.0]), (6, [-1.0, 2.0])], "vec_id long, embedding array<float>")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pivots.near_duplicates(df).collect())
