@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +19,8 @@ BANDS = 8
 KEPT = 2
 SIMILARITY = 0.8
 FULL = 48
-LONG, LONG_BANDS, LONG_FROM = 14, 128, 18
-SHORT, SHORT_BANDS, SHORT_TO = 6, 24, 32
+GRAM = 2
+CHUNK = 1024
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -134,26 +137,100 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(verify, "a long, b long")
 
 
-def _longer(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The members of full buckets (content, n, size, root) in buckets of longer sketches, with more bands.
+def _grams(texts: DataFrame) -> DataFrame:
+    """(content, grams): 32-bit hashes of each text's word pairs, repeated ones told apart."""
+    arrow = pa.schema([("content", pa.int64()), ("grams", pa.binary())])
+
+    def make(rows, raw, offsets):
+        starts, ends, of = words(raw, offsets)
+        made, bounds = labelled_shingles(Substrings(FOLD[raw]).of(starts, ends), of, len(offsets) - 1, GRAM)
+        short = (made >> U64(32)).astype(np.uint32)
+        return {"content": rows.column(0), "grams": pa.array([short[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())}
+
+    return map_slices(texts.select("content", "text"), "text", "content long, grams binary", arrow, make)
+
 
-    What full buckets share is often a passage and not the document. Fourteen
-    shingles agree in one of 128 bands for 99.7 % of the pairs with a Jaccard of
-    0.8, but for one in a hundred of those with a Jaccard of a half. Short documents have shorter ones; those in between both, so that
-    documents of like size always have one kind in common.
+def _alike(pdf: pd.DataFrame, similarity: float, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of a block, of different roots, whose word pairs allow an alignment.
+
+    An edit changes at most GRAM of a text's grams, so two texts that align within
+    k edits share all but GRAM * k of the longer's. Nothing that aligns is lost;
+    hashes that meet by chance only let more through. With `forest`, links that
+    others already imply are left out.
+    """
+    pdf.sort_values(["n", "content"], inplace=True, ignore_index=True)
+    n, side = pdf["n"].to_numpy(), pdf["chunk"].to_numpy()
+    _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+    most, label = np.bincount(root).argmax(), root.copy()
+    _, grams = np.unique(np.frombuffer(b"".join(pdf["grams"]), np.uint32), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum([len(g) // 4 for g in pdf["grams"]])])
+    mark = np.zeros(grams.max() + 1, np.int32)
+    across, place = pdf["lo"].iloc[0] != pdf["hi"].iloc[0], np.arange(len(pdf))
+    kept: list[tuple[int, int]] = []
+    # pairs with the most common root are seen from their other side
+    for i in np.flatnonzero(root != most).tolist():
+        a, b = np.searchsorted(n, [similarity * n[i] - 1, n[i] / similarity + 1])
+        wanted = (label[a:b] != label[i]) if forest else (root[a:b] != root[i])
+        wanted &= (place[a:b] > i) | (root[a:b] == most)
+        wanted &= np.minimum(n[a:b], n[i]) >= similarity * np.maximum(n[a:b], n[i])
+        if across:
+            wanted &= side[a:b] != side[i]
+        if not wanted.any():
+            continue
+        mark[grams[bounds[i] : bounds[i + 1]]] = 1
+        shared = np.add.reduceat(mark[grams[bounds[a] : bounds[b]]], bounds[a:b] - bounds[a])
+        mark[grams[bounds[i] : bounds[i + 1]]] = 0
+        longer = np.maximum(n[a:b], n[i])
+        need = longer - GRAM + 1 - GRAM * ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        for j in (a + np.flatnonzero(wanted & (shared >= need))).tolist():
+            if forest:
+                if label[j] == label[i]:
+                    continue
+                label[label == label[j]] = label[i]
+            kept.append((i, j))
+    made = np.array(kept, np.int64).reshape(-1, 2)
+    return made[:, 0], made[:, 1]
+
+
+def _within(members: DataFrame, grams: DataFrame, similarity: float, forest: bool, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) in full buckets (key, content, n, root), in different classes so far, that may align.
+
+    Buckets are cut into chunks by a hash, every two chunks of a bucket meet in a
+    task, and only what passes `_alike` leaves it.
     """
-    known = members.join(texts, "content")
-    kinds = ((F.col("n") >= LONG_FROM, LONG, LONG_BANDS), (F.col("n") <= SHORT_TO, SHORT, SHORT_BANDS))
-    made = [
-        sketches(known.where(chosen).select(F.col("content").alias("id"), "text"), shingle, bands, kept).select(
-            F.col("id").alias("content"), F.transform("keys", lambda k, kept=kept: F.xxhash64(F.lit(kept), k)).alias("keys")
-        )
-        for chosen, kept, bands in kinds
-    ]
-    both = cut(made[0].unionByName(made[1]))
-    dealt = members.hint("merge").join(both, "content").select("content", "n", "size", "root", F.explode("keys").alias("key"))
-    several = dealt.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return dealt.join(several, "key")
+    open_ = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    dealt = (
+        members.select("key", "content", "n", "root").join(open_.where("x <> y").select("key", "chunks").hint("merge"), "key")
+        .join(grams.hint("merge"), "content").withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "content", "n", "root", "grams")
+    )
+
+    def groups(batches) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if held is not None and len(held):
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            at = pdf[["key", "lo", "hi"]].to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
+            for a, b in zip(new[:-1], new[1:], strict=True):
+                yield pdf.iloc[a:b].copy()
+            held = pdf.iloc[new[-1] :]
+        if held is not None and len(held):
+            yield held.copy()
+
+    def run(batches):
+        for pdf in groups(batches):
+            if len(pdf) > 1:
+                i, j = _alike(pdf, similarity, forest)
+                one, two = pdf["content"].to_numpy()[i], pdf["content"].to_numpy()[j]
+                yield pd.DataFrame({"a": np.maximum(one, two), "b": np.minimum(one, two)})
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return small_batches(dealt).mapInPandas(run, "a long, b long").distinct()
 
 
 def _across(members: DataFrame, similarity: float) -> DataFrame:
@@ -183,8 +260,9 @@ def classes(
 
     A bucket of candidates is first held against one of its members, which joins
     large groups of copies without forming their pairs. What the links found so
-    leave in different classes of one bucket is then compared pair by pair; members
-    of buckets of more than `full` are first dealt anew by longer sketches.
+    leave in different classes of one bucket is then compared pair by pair. In
+    buckets of more than `full`, only pairs whose words allow an alignment are, first
+    those that tie them together, then all that are still in different classes.
     """
     every = cut(sketches(docs, shingle, bands, kept))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version"))
@@ -219,15 +297,22 @@ def classes(
     met = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
     open_ = cut(placed.join(met.select("key", "m"), "key").select("key", "size", "content", "n", "root", "m"))
     few, many = open_.where(F.col("m") <= full), open_.where(F.col("m") > full)
-    apart = many.select("content", "n", "size", "root").distinct()
-    finer = cut(_longer(apart, texts, shingle))
-    rest = (
-        _across(few, similarity).unionByName(_across(finer, similarity)).distinct()
-        .join(starred, ["a", "b"], "left_anti")
-    )
-    more = cut(_aligned(rest, texts, similarity))
-    if more.limit(1).count():
-        roots = connected(links.unionByName(more))
+    tested, found = starred, links
+    pairs = _across(few, similarity)
+    if crowded := bool(many.limit(1).count()):
+        grams = cut(_grams(texts.join(many.select("content").distinct().hint("merge"), "content", "left_semi")))
+        pairs = pairs.unionByName(_within(many, grams, similarity, forest=True))
+    while True:
+        rest = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        more = cut(_aligned(rest, texts, similarity))
+        if more.limit(1).count():
+            found = found.unionByName(more)
+            roots = connected(found)
+        if not crowded:
+            break
+        crowded, tested = False, tested.unionByName(rest)
+        now = many.drop("root").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+        pairs = _within(now, grams, similarity, forest=False)
     member = contents.select("content", "first").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn(
         "root", F.coalesce("root", "content")
     )

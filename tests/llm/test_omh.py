@@ -84,3 +84,22 @@ def test_order_matters():
     one = omh.sketch(*omh.labelled_shingles(keys, np.zeros(10, int), 1, 1), 6, 2)
     two = omh.sketch(*omh.labelled_shingles(keys[::-1].copy(), np.zeros(10, int), 1, 1), 6, 2)
     assert (one != two).all()
+
+
+def test_pairs_in_full_buckets(spark):
+    """Pairs far below a Jaccard of 0.8 that meet in buckets of over 48 contents, whatever the limit."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = [rng.choice(vocabulary) for _ in range(40)]
+    rows = []
+    for k in range(100):
+        base = passage + [rng.choice(vocabulary) for _ in range(60)]
+        copy = list(base)
+        for p in rng.sample(range(40, 100), 7):
+            copy[p] = rng.choice(vocabulary)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({r.doc_id: r.class_id for r in omh.near_duplicates(docs, full=f).collect()} for f in (10**6, 48))
+    print(sum(few[2 * k + 1] == 2 * k for k in range(100)), sum(many[2 * k + 1] == 2 * k for k in range(100)))
+    assert many == few
+    assert sum(many[2 * k + 1] == 2 * k for k in range(100)) >= 95
