@@ -63,14 +63,12 @@ def signatures(
                 own = d == 0 and shift == 0
                 at = start + shift
                 fits = (at >= 0) & (at + size <= length[chosen])
-                if side is not None and own:
-                    fits &= side[chosen] == 0
-                if side is not None and d == 0 and not own:
-                    fits &= side[chosen] <= 1
                 rows, at, n, goal = chosen[fits], at[fits], size[fits], target[fits]
                 key = sub.of(begin[rows] + at, begin[rows] + at + n)
                 key = mix(key + goal.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(i))
-                yield rows, key, np.full(len(rows), 0 if own else 1 + d, np.int32), at, n
+                # a line that was a probe stays one where its rest is not shifted
+                as_ = side[rows].astype(np.int32) if own and side is not None else np.full(len(rows), 0 if own else 1 + d, np.int32)
+                yield rows, key, as_, at, n
 
 
 def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

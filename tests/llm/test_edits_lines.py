@@ -78,6 +78,25 @@ def test_lines_against_all_pairs(spark, edits, bucket):
     assert got == {d: want.get(d, []) for d, _ in rows}
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_shifted_segments_in_full_buckets(spark, edits):
+    """Pairs whose only common segment is shifted, and stands in many other lines."""
+    rng = random.Random(edits)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefghijklm") for _ in range(n))
+
+    lines = [letters(9) + "k" + "the common" + letters(10 * (edits - 1)) for _ in range(24)]
+    for line in lines[:8]:
+        near = line[:8] + "z" + line[8:25] + line[26:]
+        lines.append(near if edits == 2 else near[:35] + "z" + near[36:])
+    rows = list(enumerate(lines))
+    got = {r.doc_id: r.removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits=edits, bucket=6).collect()}
+    want = expected(rows, edits, line_dedup.MIN_CHARS)
+    assert len(want) >= 8
+    assert got == {d: want.get(d, []) for d, _ in rows}
+
+
 def test_text_columns_and_odd_rows(spark):
     line = "a line that is long enough to count"
     rows = [(1, f"{line}\nshort\n{line}", "x", 5), (2, f"one of its own, also long\n{line}", "y", 6), (None, line, "z", 7), (3, None, None, None), (3, None, None, None)]
