@@ -74,6 +74,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, none where there is no folder."""
+    files, at = _storage(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table or a partition of one, wherever it is stored."""
     files, at = _storage(spark, path)

@@ -2,58 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from graphlens.plans.live import apply_batch, read, refine
 
-from graphlens import tables
-from graphlens.operators.maintain import purge_files
-from graphlens.operators.resolve import current_calls
-from graphlens.plans.incremental import Graph
-from graphlens.session import cut, forget
-from graphlens.sources.trees import fingerprint, snapshot_diff
-
-NAMES = ("functions", "classes", "imports", "call_sites")
-
-
-def read(spark, root: str) -> Graph:
-    """The graph stored under `root`, whoever wrote it."""
-    return Graph(**{n: tables.load(spark, root, n) for n in ("files", *NAMES, "calls")})
-
-
-def apply_batch(root: str, batch: DataFrame) -> None:
-    """Upsert the files of one batch: of a file sent twice, the last one sent counts.
-
-    A row without content means the file was removed. All state is in the tables
-    under `root`, so a stream may be started anew at any time. Only the partitions
-    of repos that the batch touches are read and replaced, each from a copy, and the
-    fingerprints come last: a batch that broke off finds its files still to do when
-    it is replayed, and one that is replayed after it was done changes nothing.
-    """
-    spark = batch.sparkSession
-    files = cut(batch.groupBy("repo_id", "path").agg(F.max_by("content", "seq").alias("content")))
-    repos = files.select("repo_id").distinct()
-    removed = files.filter(F.col("content").isNull()).select("repo_id", "path")
-    present = files.filter(F.col("content").isNotNull())
-    mine = lambda name: tables.load(spark, root, name).join(repos, "repo_id", "left_semi")
-    known = mine("files")
-    touched = known.join(present.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-    states = snapshot_diff(touched, fingerprint(present))
-    todo = states.filter(F.col("state").isin("added", "changed")).select("repo_id", "path")
-    gone = cut(states.filter(F.col("state") == "changed").select("repo_id", "path").unionByName(removed))
-    fresh = Graph.of(present.join(todo, ["repo_id", "path"], "left_semi"))
-    new = fresh.tables()
-    merged = {n: cut(_onto(purge_files(mine(n), gone), new[n])) for n in NAMES}
-    calls = cut(current_calls(mine("calls"), merged["call_sites"], merged["functions"]))
-    rows = cut(_onto(purge_files(known, gone, "path"), new["files"]))
-    # what an earlier try may have left of these files is gone as well: `gone` and `todo` are still the same
-    for name, table in (*merged.items(), ("calls", calls), ("files", rows)):
-        tables.save(table, root, name, repos)
-    fresh.release()
-    forget(files, gone, calls, rows, *merged.values())
-
-
-def _onto(kept: DataFrame, new: DataFrame) -> DataFrame:
-    """The stored rows and the fresh ones, which replace what the same files left behind."""
-    path = "path" if "path" in new.columns else "file_path"
-    again = new.select("repo_id", path).distinct()
-    return kept.join(again, ["repo_id", path], "left_anti").unionByName(new, allowMissingColumns=True).select(*kept.columns)
+__all__ = ["apply_batch", "read", "refine"]

@@ -1,4 +1,6 @@
-"""The architecture map end to end on two small repos."""
+"""The architecture map end to end, and the stored graph over batches of files."""
+
+import os
 
 from graphlens.plans import architecture
 
@@ -59,3 +61,85 @@ def test_batches_survive_restarts_and_replays(spark, tmp_path):
     apply_batch(root, three)
     assert state() == (["b.g2", "c.h", "d.g"], [("c.h", "c.h")], ["b.py", "c.py", "d.py"])
     assert {r.doc for r in read(spark, root).functions.collect()} == {None, "doc"}
+
+
+def _rows_by_stage(spark):
+    """Rows read from and written to files by every stage that has run."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(
+        sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+    )
+    return {stages.apply(k).stageId(): (stages.apply(k).inputRecords(), stages.apply(k).outputRecords()) for k in range(stages.size())}
+
+
+def _bucket_files(root, tables):
+    """Data files of the tables with what tells a rewritten one from one left alone."""
+    return {
+        os.path.relpath(os.path.join(d, f), root): os.stat(os.path.join(d, f)).st_mtime_ns
+        for t in tables for d, _, names in os.walk(f"{root}/{t}") for f in names if f.endswith(".parquet")
+    }
+
+
+def _sources(spark, n, edit=()):
+    """Modules of three functions each; a function calls one of the next module and one that all modules have."""
+    body = lambda k: (
+        f"def f{k}(x):\n    return g{(k + 1) % n}(x)\n\n\ndef g{k}(x):\n    return shared(h{(k + 7) % n}(x))\n\n\ndef h{k}(x):\n    pass\n"
+    )
+    return [("r", f"src/m{k}.py", edit[k] if k in edit else body(k), 1) for k in range(n)]
+
+
+def _edges(graph):
+    return {(r.src, r.dst, r.line, r.precise) for r in graph.calls.collect()}
+
+
+def test_a_small_batch_costs_what_it_changes(spark, tmp_path):
+    """Five of 2,000 files: only their buckets and those of their names are read and written; the result is that of a full ingest."""
+    from graphlens.plans import live
+    from graphlens.plans.incremental import Graph
+
+    n, layout = 2000, "repo_id string, path string, content string, seq int"
+    root, other = str(tmp_path / "live"), str(tmp_path / "full")
+    before = _sources(spark, n)
+    live.apply_batch(root, spark.createDataFrame(before, layout))
+    files, seen = _bucket_files(root, live.STORED), _rows_by_stage(spark)
+    edits = {3: "def f3(x):\n    return new(x)\n", 10: "def g9(x):\n    pass\n", 11: before[11][2] + "\n\ndef new(x):\n    return g5(x)\n", 12: None, 1500: "x = 1\n"}
+    changed = [("r", f"src/m{k}.py", c, 2) for k, c in edits.items()]
+    live.apply_batch(root, spark.createDataFrame(changed, layout))
+
+    now = _bucket_files(root, live.STORED)
+    buckets = lambda t, some: {f.split("/bucket=")[1].split("/")[0] for f in some if f.startswith(f"{t}/")}
+    touched = {t: (len(buckets(t, set(now) - set(files))), len(buckets(t, files))) for t in live.STORED}
+    assert touched["functions"][0] <= 5 < touched["functions"][1] == 32  # five files
+    # names that gained or lost a bearer: g3, h3, f10, g10, h10, new, g9, three of m12, three of m1500, each called from one module
+    assert touched["bearers"][0] <= 14 < touched["bearers"][1] and touched["callers"][0] <= 30 and touched["edges"][0] <= 5 + 14
+    assert all(files[f] == now[f] for f in set(files) & set(now))
+    rows = [v for k, v in _rows_by_stage(spark).items() if k not in seen]
+    whole = 3 * n + 3 * n + 3 * n + n  # functions, call sites, edges, files
+    read, written = (sum(x) for x in zip(*rows, strict=True))
+    assert read < 2 * whole and written < whole / 2, (read, written, touched)
+
+    after = [(r, p, c, 1) for r, p, c, _ in _sources(spark, n, edits) if c is not None]
+    full = Graph.of(spark.createDataFrame(after, layout).drop("seq"))
+    got = live.read(spark, root)
+    assert _edges(got) == _edges(full)
+    for name, table in full.tables().items():
+        key = [c for c in ("repo_id", "path", "file_path", "qualified_name", "sha", "module", "caller_qname", "callee_name", "line", "start_line") if c in table.columns]
+        assert sorted(map(str, got.tables()[name].select(key).collect())) == sorted(map(str, table.select(key).collect()))
+    live.apply_batch(other, spark.createDataFrame(after, layout))
+    assert _edges(live.read(spark, other)) == _edges(full)
+
+
+def test_refined_edges_stand_until_an_end_goes(spark, tmp_path):
+    from graphlens.plans import live
+
+    batch = lambda *rows: spark.createDataFrame(rows, "repo_id string, path string, content string, seq int")
+    root = str(tmp_path / "live")
+    live.apply_batch(root, batch(("r", "a.py", "def f():\n    alias()\n    g()\n", 1), ("r", "b.py", "def g():\n    pass\n", 1), ("r", "c.py", "def h():\n    pass\n", 1)))
+    live.refine(root, spark.createDataFrame([("r", "a.f", "c.h", 2), ("r", "a.f", "b.g", 3)], "repo_id string, src string, dst string, line int"))
+    assert _edges(live.read(spark, root)) == {("a.f", "c.h", 2, True), ("a.f", "b.g", 3, True)}
+    live.apply_batch(root, batch(("r", "c.py", "def h():\n    g()\n", 2), ("r", "b.py", "def g2():\n    pass\n", 2)))
+    assert _edges(live.read(spark, root)) == {("a.f", "c.h", 2, True)}
+    live.apply_batch(root, batch(("r", "b.py", "def g():\n    pass\n", 3)))
+    assert _edges(live.read(spark, root)) == {("a.f", "c.h", 2, True), ("a.f", "b.g", 3, False), ("c.h", "b.g", 2, False)}
+    live.apply_batch(root, batch(("r", "a.py", None, 4)))
+    assert _edges(live.read(spark, root)) == {("c.h", "b.g", 2, False)}

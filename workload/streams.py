@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.operators import registry
@@ -129,3 +129,46 @@ def _(bed: Bed):
         arrivals = bed.spark.readStream.schema(first.schema).parquet(f"{folder}/{part}")
         drain_batches(arrivals, f"ingest-{part}", lambda df, i: live.apply_batch(root, df))
     return live.read(bed.spark, root).functions.select("repo_id", "file_path", "qualified_name")
+
+
+_standing: dict[tuple[str, str], str] = {}
+
+
+def standing(bed: Bed) -> str:
+    """Where the graph of all files is stored: ingested once per session and input folder."""
+    key = (bed.spark.sparkContext.applicationId, bed.dir)
+    if key not in _standing:
+        root = scratch_path(bed.spark, "standing")
+        live.apply_batch(root, rendered(bed).withColumn("seq", F.lit(1)))
+        _standing[key] = root
+    return _standing[key]
+
+
+@query("stream_ingest_small", """
+WITH picked AS (SELECT repo_id, file_path, row_number() OVER (ORDER BY sha1(file_path), repo_id) AS place FROM v_functions GROUP BY 1, 2),
+f AS (
+    SELECT p.repo_id, p.name, concat(p.holder, '.', p.name) AS qualified_name FROM v_placed_functions p
+    LEFT JOIN picked k ON k.repo_id = p.repo_id AND k.file_path = p.file_path AND place <= 2 WHERE place IS NULL
+    UNION ALL SELECT repo_id, 'draft', concat(replace(replace(file_path, '.py', ''), '/', '.'), '.draft') FROM picked WHERE place BETWEEN 3 AND 5),
+s AS (
+    SELECT DISTINCT c.repo_id, p.qualified_name AS src, c.callee_name FROM v_call_sites c
+    JOIN v_found_functions p ON p.repo_id = c.repo_id AND p.node = c.caller_qname
+    LEFT JOIN picked k ON k.repo_id = c.repo_id AND k.file_path = c.file_path AND place <= 2 WHERE place IS NULL
+    UNION ALL SELECT repo_id, qualified_name, 'fn_1' FROM f WHERE name = 'draft')
+SELECT s.repo_id, s.src, f.qualified_name AS dst FROM s JOIN f ON f.repo_id = s.repo_id AND f.name = s.callee_name
+""")
+def _(bed: Bed):
+    """Five files change in a graph that stands: two go, three get a function more. All call edges after that."""
+    root = standing(bed)
+    files = rendered(bed)
+    first = files.select("repo_id", "path").orderBy(F.sha1("path"), "repo_id").limit(5)
+    place = F.row_number().over(Window.orderBy(F.sha1("path"), "repo_id"))  # of five rows
+    draft = F.concat(F.lit("def draft(x):\n    return fn_1(x)\n"), "content")
+    batch = files.join(first.withColumn("place", place), ["repo_id", "path"]).select(
+        "repo_id", "path", F.when(F.col("place") > 2, draft).alias("content"), F.lit(2).alias("seq")
+    )
+    folder = scratch_path(bed.spark, "edits")
+    batch.write.parquet(folder)
+    arrivals = bed.spark.readStream.schema(batch.schema).parquet(folder)
+    drain_batches(arrivals, "ingest-small", lambda df, i: live.apply_batch(root, df))
+    return live.read(bed.spark, root).calls.select("repo_id", "src", "dst")
