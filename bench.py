@@ -18,12 +18,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from graphlens.session import build_session
 from workload import QUERIES
 from workload.harness import STORED, Bed
+from workload.streams import standing
 
 HEADLINE = (
     "resolve_calls file_call_edges resolve_imports file_dependency_edges innermost_function upgrade_edges has_method_edges "
     "callers_of blast_radius blast_radius_all entry_points graph_stats file_fan cluster_metrics cluster_edges warn_fan_in warn_sdp "
     "usage_totals top_tokens top_endpoints savings_by_route savings_by_token savings_daily latest_run source_progress source_failures "
-    "link_repos match_events snapshot_diff webhook_verify extract_functions extract_classes extract_imports extract_call_sites cycles stream_ingest text_index keyword_search semantic_search "
+    "link_repos match_events snapshot_diff webhook_verify extract_functions extract_classes extract_imports extract_call_sites cycles stream_ingest stream_ingest_small text_index keyword_search semantic_search "
     "stream_hourly_usage"
 ).split()
 
@@ -45,6 +46,10 @@ def main() -> None:
     for view in sorted(STORED):
         bed.view(view)
     times["setup"] = round(time.perf_counter() - begun, 3)
+    if "stream_ingest_small" in names:  # the graph that five files change: a first ingest of all
+        begun = time.perf_counter()
+        standing(bed)
+        times["first_ingest"] = round(time.perf_counter() - begun, 3)
     for name in names:
         begun = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -425,12 +425,15 @@ def _cycles(bed: Bed):
 CYCLE_WARN = """SELECT repo_id, 'cyclic_dependency' AS kind, 'high' AS severity, 'file_group' AS target_kind, component AS target_id,
        concat(count(*), ' files depend on each other in a cycle') AS message, concat('{"files":', count(*), '}') AS detail_json
 FROM members GROUP BY repo_id, component"""
-FAN_IN_WARN = """SELECT repo_id, 'high_fan_in' AS kind, 'medium' AS severity, 'file' AS target_kind, path AS target_id,
-       concat(path, ' is used by ', fan_in, ' files (limit 20)') AS message, concat('{"fan_in":', fan_in, ',"threshold":20}') AS detail_json
-FROM v_fan WHERE fan_in > 20"""
-FAN_OUT_WARN = """SELECT repo_id, 'high_fan_out' AS kind, 'medium' AS severity, 'file' AS target_kind, path AS target_id,
-       concat(path, ' uses ', fan_out, ' files (limit 15)') AS message, concat('{"fan_out":', fan_out, ',"threshold":15}') AS detail_json
-FROM v_fan WHERE fan_out > 15"""
+
+
+def _fan_sql(side: str, verb: str, limit: int) -> str:
+    return f"""SELECT repo_id, 'high_fan_{side}' AS kind, 'medium' AS severity, 'file' AS target_kind, path AS target_id,
+       concat(path, ' {verb} ', fan_{side}, ' files (limit {limit})') AS message, concat('{{"fan_{side}":', fan_{side}, ',"threshold":{limit}}}') AS detail_json
+FROM v_fan WHERE fan_{side} > {limit}"""
+
+
+FAN_IN_WARN, FAN_OUT_WARN = _fan_sql("in", "is used by", 20), _fan_sql("out", "uses", 15)
 COHESION_WARN = """SELECT repo_id, 'low_cohesion' AS kind, 'low' AS severity, 'cluster' AS target_kind, CAST(cluster_id AS VARCHAR) AS target_id,
        concat('cluster ', name, ' has cohesion ', cohesion) AS message,
        concat('{"cluster_id":', cluster_id, ',"cohesion":', cohesion, ',"file_count":', file_count, '}') AS detail_json
@@ -449,6 +452,8 @@ FROM v_cluster_edges e JOIN v_metrics m ON m.repo_id = e.repo_id AND m.cluster_i
 GROUP BY e.repo_id, e.dst, m.name HAVING count(*) > 1"""
 # directory clusters are few, so the hub rule is asked with a lower limit
 HUB = arch.Limits(hub=1)
+# files of the smallest tables have few neighbours, so medium findings are asked for with lower limits
+LOW = arch.Limits(fan_in=1, fan_out=1, hub=1)
 
 
 @query("warn_cycles", f"WITH {REACH} {CYCLE_WARN}")
@@ -485,27 +490,32 @@ def _(bed: Bed):
     return arch.warn_hub(arch.cluster_metrics(edges, members), arch.cluster_edges(edges, members), HUB)
 
 
-def _warnings(bed: Bed):
+def _warnings(bed: Bed, limits: arch.Limits = HUB):
     edges = _file_edges(bed)
     members = bed.view("v_membership")
     return edges, members, arch.all_warnings(
-        arch.file_fan(edges), arch.cluster_metrics(edges, members), arch.cluster_edges(edges, members), _cycles(bed), HUB
+        arch.file_fan(edges), arch.cluster_metrics(edges, members), arch.cluster_edges(edges, members), _cycles(bed), limits
     )
 
 
-ALL_WARN = f"""WITH {REACH},
-w AS ({CYCLE_WARN} UNION ALL {FAN_IN_WARN} UNION ALL {FAN_OUT_WARN} UNION ALL {COHESION_WARN}
+def _all_warn(fan_in: str, fan_out: str) -> str:
+    return f"""WITH {REACH},
+w AS ({CYCLE_WARN} UNION ALL {fan_in} UNION ALL {fan_out} UNION ALL {COHESION_WARN}
       UNION ALL {SDP_WARN} UNION ALL {HUB_WARN})"""
 
 
+ALL_WARN = _all_warn(FAN_IN_WARN, FAN_OUT_WARN)
+LOW_WARN = _all_warn(_fan_sql("in", "is used by", LOW.fan_in), _fan_sql("out", "uses", LOW.fan_out))
+
+
 @query("list_warnings", f"{ALL_WARN} SELECT * FROM w ORDER BY severity, kind, target_id")
 def _(bed: Bed):
     return arch.list_warnings(_warnings(bed)[2])
 
 
-@query("list_warnings_medium", f"{ALL_WARN} SELECT * FROM w WHERE severity = 'medium'")
+@query("list_warnings_medium", f"{LOW_WARN} SELECT * FROM w WHERE severity = 'medium'")
 def _(bed: Bed):
-    return arch.list_warnings(_warnings(bed)[2], "medium")
+    return arch.list_warnings(_warnings(bed, LOW)[2], "medium")
 
 
 @query("warning_detail_json", f"""{ALL_WARN}
