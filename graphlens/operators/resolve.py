@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.modules import module_candidates
@@ -160,25 +160,58 @@ def file_call_edges_by_name(sites: DataFrame, functions: DataFrame) -> DataFrame
     )
 
 
+def _halvings(first: Column, last: Column) -> Column:
+    """The fewest aligned stretches of lines, each a power of two long, that make up first..last: (level, node).
+
+    A level's stretches are numbered from line 0; at most two of a level are needed.
+    """
+    end = last + 1
+
+    def at(k: Column) -> Column:
+        low, high = -F.floor(-first / F.pow(F.lit(2.0), k)), F.floor(end / F.pow(F.lit(2.0), k))
+        odd = lambda n: n % 2 != 0
+        node = lambda n: F.struct(k.alias("level"), n.cast("long").alias("node"))
+        return F.when(low < high, F.array_compact(F.array(F.when(odd(low), node(low)), F.when(odd(high), node(high - 1)))))
+
+    levels = F.sequence(F.lit(0), _level(first, last))
+    return F.filter(F.flatten(F.filter(F.transform(levels, at), lambda x: x.isNotNull())), lambda x: x.isNotNull())
+
+
+def _level(first: Column, last: Column) -> Column:
+    """The highest level of which a stretch can lie in first..last."""
+    return F.floor(F.log2((last - first + 1).cast("double"))).cast("int")
+
+
 def innermost_function(definitions: DataFrame, functions: DataFrame) -> DataFrame:
     """The narrowest function around each definition line (ties by name).
 
-    Lines are made distinct before the range join: a popular target is looked
-    up once per line, however many call sites point at it.
+    A span is cut into aligned stretches, at most two per power of two of its
+    length, and of all spans on a stretch only the narrowest is kept. A line lies in
+    one stretch per level, so it meets at most one row on each: a file with as many
+    functions as lines costs both times the levels, not their product, and its
+    stretches are spread over all tasks. Spans may overlap in any way; those without
+    lines hold none. Lines are made distinct first: a popular target is looked up
+    once, however many call sites point at it.
     """
-    spans = functions.select(
-        "repo_id", F.col("file_path").alias("target_path"), "qualified_name", "start_line", "end_line"
+    file = ["repo_id", "target_path"]
+    spans = functions.where("end_line >= start_line and start_line >= 0").select(
+        "repo_id", F.col("file_path").alias("target_path"), "qualified_name", F.col("start_line").cast("long").alias("first"), F.col("end_line").cast("long").alias("last")
     )
+    best = F.min(F.struct((F.col("last") - F.col("first")).alias("width"), "qualified_name")).alias("best")
+    narrowest = (
+        spans.select(*file, "first", "last", "qualified_name", F.inline(_halvings(F.col("first"), F.col("last"))))
+        .groupBy(*file, "level", "node").agg(best)
+    )
+    highest = spans.agg(F.coalesce(F.max(_level(F.col("first"), F.col("last"))), F.lit(0)).alias("most")).scalar()
+    lines = definitions.select(*file, "target_line").where("target_line >= 0").distinct()
     found = (
-        definitions.select("repo_id", "target_path", "target_line")
-        .distinct()
-        .join(spans, ["repo_id", "target_path"])
-        .filter(F.col("target_line").between(F.col("start_line"), F.col("end_line")))
-        .groupBy("repo_id", "target_path", "target_line")
-        .agg(F.min(F.struct(F.expr("end_line - start_line").alias("w"), "qualified_name")).alias("best"))
-        .select("repo_id", "target_path", "target_line", F.col("best.qualified_name").alias("dst"))
+        lines.withColumn("level", F.explode(F.sequence(F.lit(0), highest)))
+        .withColumn("node", F.expr("shiftright(cast(target_line as bigint), level)"))
+        .join(narrowest, [*file, "level", "node"])
+        .groupBy(*file, "target_line").agg(F.min("best").alias("best"))
+        .select(*file, "target_line", F.col("best.qualified_name").alias("dst"))
     )
-    return definitions.join(found, ["repo_id", "target_path", "target_line"])
+    return definitions.join(found, [*file, "target_line"])
 
 
 def refined_edges(definitions: DataFrame, functions: DataFrame) -> DataFrame:

@@ -175,3 +175,57 @@ def test_edges_to_what_is_gone_are_stale(spark):
     assert {(r.src, r.dst) for r in resolve.stale_calls(calls, sites, functions).collect()} == {("m.f", "m.gone"), ("m.left", "m.g"), ("m.f", "m.k"), ("m.k", "m.gone")}
     kept = {(r.src, r.dst, r.precise) for r in resolve.current_calls(calls, sites, functions).collect()}
     assert kept == {("m.f", "m.g", False), ("m.k", "m.f", True)}
+
+
+def test_innermost_function_on_any_spans(spark):
+    """Spans that nest, overlap and coincide, against a look at all of them."""
+    import random
+
+    from graphlens.operators import resolve
+
+    rng = random.Random(4)
+    spans = []
+    for k in range(400):
+        first = rng.randint(0, 900)
+        spans.append(("r", f"f{k % 3}.py", f"q{k:03}", first, first + rng.choice([0, 1, 3, 40, 700, -1])))
+    spans.append(("r", "f0.py", "q1 twin", spans[0][3], spans[0][4]))
+    lines = [("r", f"f{rng.randint(0, 3)}.py", rng.randint(0, 1700)) for _ in range(600)] + [("s", "f0.py", 5), ("r", "f0.py", None)]
+    functions = spark.createDataFrame(spans, "repo_id string, file_path string, qualified_name string, start_line int, end_line int")
+    definitions = spark.createDataFrame([(*x, k) for k, x in enumerate(lines)], "repo_id string, target_path string, target_line int, site int")
+    got = {r.site: r.dst for r in resolve.innermost_function(definitions, functions).collect()}
+    want = {}
+    for k, (repo, path, line) in enumerate(lines):
+        around = [(e - s, q) for r, p, q, s, e in spans if (r, p) == (repo, path) and line is not None and s <= line <= e]
+        if around:
+            want[k] = min(around)[1]
+    assert got == want and len(want) > 300
+    assert resolve.innermost_function(definitions, functions.limit(0)).collect() == []
+
+
+def _shuffled(spark):
+    """Rows that each stage so far has read from a shuffle."""
+    sc = spark.sparkContext
+    nothing = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(nothing, False, False, sc._gateway.new_array(sc._jvm.double, 0), nothing)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleReadRecords() for k in range(stages.size())}
+
+
+def test_innermost_function_in_a_generated_file(spark):
+    """50,000 functions and 50,000 lines of one file meet in a number of rows that grows with both, not with their product."""
+    from pyspark.sql import functions as F
+
+    from graphlens.operators import resolve
+
+    n = 50_000
+    k = F.col("id").cast("int")
+    functions = spark.range(n).select(
+        F.lit("r").alias("repo_id"), F.lit("big.py").alias("file_path"), F.concat(F.lit("f"), "id").alias("qualified_name"),
+        (4 * k).alias("start_line"), (4 * k + F.when(k % 1000 == 0, 3999).otherwise(2)).alias("end_line"),
+    )
+    definitions = spark.range(n).select(F.lit("r").alias("repo_id"), F.lit("big.py").alias("target_path"), (4 * k + 1).alias("target_line"))
+    found = resolve.innermost_function(definitions, functions)
+    seen = set(_shuffled(spark))
+    rows = found.where(F.col("dst") == F.concat(F.lit("f"), ((F.col("target_line") - 1) / 4).cast("int").cast("string"))).count()
+    assert rows == n
+    # a row per line and level, and two per function and level at most
+    assert sum(v for k, v in _shuffled(spark).items() if k not in seen) < 40 * n
