@@ -1,4 +1,4 @@
-"""Keyword search over a token index, and vector search by cosine."""
+"""Tokens and their postings, and vector search by cosine."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphlens.session import cut
-
-K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
@@ -34,43 +31,6 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
-def keyword_search(docs: DataFrame, key: str, text: Column, query: str, group: str | None = None, wanted: str | None = None, limit: int = 25) -> DataFrame:
-    """Best documents for a query by BM25 (k1 1.2, b 0.75), best first.
-
-    The texts are read once: of each only its length and how often it holds
-    each query word are stored, and corpus counts and scores come from those.
-    Nothing but counts and the documents hit is shuffled.
-    """
-    words = sorted({w for w in _query_words(query)})
-    if group is not None and wanted is not None:
-        docs = docs.filter(F.col(group) == wanted)
-    hits = cut(docs.select(F.col(key).alias("doc"), tokens(text).alias("w")).select(
-        "doc", F.size("w").alias("length"), *[_times("w", q).alias(f"tf{i}") for i, q in enumerate(words)]
-    ))
-    totals = hits.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]
-    )
-    corpus = totals.select(F.struct("*").alias("corpus")).scalar()  # one row of counts
-    scored = hits.filter(" OR ".join(f"tf{i} > 0" for i in range(len(words))) if words else "false").withColumn("corpus", corpus)
-    n_docs, avg_length = F.col("corpus.n"), F.col("corpus.avg_length")
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        tf, df = F.col(f"tf{i}"), F.col(f"corpus.df{i}")
-        idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg_length))
-    return scored.select("doc", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "doc").limit(limit)
-
-
-def _times(words: str, word: str) -> Column:
-    return F.size(F.filter(words, lambda t: t == word))
-
-
-def _query_words(query: str) -> list[str]:
-    import re
-
-    return [w for w in re.split(r"[^\w]+", query.lower()) if w]
-
-
 ITEMS, QUERIES = 2048, 512
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.operators import search
+from graphlens.operators.inverted import KeywordIndex
+from graphlens.session import scratch_path
 from workload.harness import Bed, query
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}_]+'), lambda x: x <> '')"
@@ -26,9 +29,9 @@ def _(bed: Bed):
     return search.document_frequency(search.postings(bed.table("documents"), "doc_id", F.col("text")))
 
 
-def _bm25(where: str) -> str:
+def _bm25(where: str, docs: str = "documents") -> str:
     return f"""
-WITH d AS (SELECT doc_id, len(w) AS l, w FROM (SELECT doc_id, {WORDS} AS w FROM documents {where}) t),
+WITH d AS (SELECT doc_id, len(w) AS l, w FROM (SELECT doc_id, {WORDS} AS w FROM {docs} d {where}) t),
 q AS (SELECT unnest(['the', 'die', 'erent']) AS token),
 tf AS (SELECT d.doc_id, d.l, q.token, len(list_filter(d.w, lambda x: x = q.token)) AS tf FROM d, q),
 n AS (SELECT count(*) AS n, avg(l) AS al FROM d),
@@ -37,14 +40,42 @@ SELECT doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 FROM tf JOIN df USING (token), n GROUP BY 1 HAVING sum(tf) > 0 ORDER BY 2 DESC, 1 LIMIT 25"""
 
 
+_indexes: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def _indexed(bed: Bed) -> DataFrame:
+    return bed.table("documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("grp"), "text")
+
+
+def standing_index(bed: Bed) -> KeywordIndex:
+    """The index of all documents, by source: stored once per session and input folder."""
+    key = (bed.spark.sparkContext.applicationId, bed.dir)
+    if key not in _indexes:
+        index = KeywordIndex(bed.spark, scratch_path(bed.spark, "index"))
+        index.update(0, _indexed(bed))
+        _indexes[key] = index
+    return _indexes[key]
+
+
 @query("keyword_search", _bm25(""))
 def _(bed: Bed):
-    return search.keyword_search(bed.table("documents"), "doc_id", F.col("text"), "The, die erent")
+    return standing_index(bed).search("The, die erent")
 
 
 @query("keyword_search_in_source", _bm25("WHERE source = 'src3'"))
 def _(bed: Bed):
-    return search.keyword_search(bed.table("documents"), "doc_id", F.col("text"), "The, die erent", "source", "src3")
+    return standing_index(bed).search("The, die erent", group="src3")
+
+
+@query("keyword_search_after_batches", _bm25("", "(SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN concat('the erent ', text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7)"))
+def _(bed: Bed):
+    """Half of the documents are indexed; then a tenth is replaced, a tenth removed, the rest added; and the index is made anew from what is left."""
+    docs, key = _indexed(bed), F.col("doc") % 10
+    index = KeywordIndex(bed.spark, scratch_path(bed.spark, "index"))
+    index.update(0, docs.where(key.isin(1, 3, 5, 7, 9)))
+    index.update(1, docs.where(key == 3).withColumn("text", F.concat(F.lit("the erent "), "text")), docs.where(key == 7).select("doc"))
+    index.update(2, docs.where(key.isin(0, 2, 4, 6, 8)))
+    return index.compact(scratch_path(bed.spark, "index")).search("The, die erent")
 
 
 def _vectors(bed: Bed):
