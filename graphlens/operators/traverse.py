@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.modules import short_name
+from graphlens.functions.skew import running_total
 from graphlens.operators.resolve import named_functions, written_calls
-from graphlens.session import cut
+from graphlens.session import cut, forget
 
 
 @dataclass
@@ -161,14 +162,65 @@ def downstream_dependencies(graph, functions, files, repo_id, path, depth=2, lim
     return _affected(graph, functions, files, repo_id, path, depth, limit, upward=False)
 
 
+LANES = 8
+WORD = 64
+BITS = [f"b{k}" for k in range(LANES)]
+
+
+def _united(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sets of files (eight longs for 512 of them a row), put together per key and block."""
+    return rows.groupBy(*keys, "block").agg(*[F.bit_or(b).alias(b) for b in BITS])
+
+
+def _as_bits(ordinal: str) -> list[Column]:
+    """A file's place among the files of its repo: number of the block, and the longs with its bit."""
+    bit = F.expr(f"shiftleft(1L, cast({ordinal} % {WORD} as int))")
+    lane = F.expr(f"cast(({ordinal} div {WORD}) % {LANES} as int)")
+    return [F.expr(f"{ordinal} div {WORD * LANES}").alias("block"), *[F.when(lane == k, bit).otherwise(F.lit(0).cast("long")).alias(b) for k, b in enumerate(BITS)]]
+
+
 def blast_radius_all(graph: CallNames, functions: DataFrame, files: DataFrame, depth: int = 2) -> DataFrame:
-    """Number of affected files for every file at once."""
-    pairs = _file_pairs(graph, functions, files, depth, upward=True)
-    counts = pairs.groupBy("repo_id", F.col("start").alias("path")).agg(F.count(F.lit(1)).alias("affected_files"))
+    """Number of affected files for every file at once.
+
+    What leads to a name is a set of files, held as bits over their places in the
+    repo, 512 to a row. A hop takes the sets of the names that callers bear to the
+    names they call and unites them there, map-side first; so a hop moves at most a
+    row per name and 512 files, and (file, file) pairs are never built.
+    """
+    if depth < 1:
+        raise ValueError("depth starts at 1")
+    owner = functions.select("repo_id", F.col("qualified_name").alias("fn"), F.col("file_path").alias("path")).distinct()
+    places = cut(running_total(owner.select("repo_id", "path").distinct(), ["repo_id"], ["path"], F.lit(1), "ordinal").select("repo_id", "path", "ordinal"))
+    bits = places.select("repo_id", "path", *_as_bits("ordinal"))
+    named = ["repo_id", "name"]
+    direct = cut(_united(
+        graph.calls.join(owner.withColumnRenamed("fn", "caller"), ["repo_id", "caller"]).select(*named, "path").distinct().join(bits, ["repo_id", "path"]), named
+    ))
+    # what a caller calls, by the names that it bears itself
+    passes = cut(
+        graph.calls.withColumnRenamed("name", "called").join(graph.names.withColumnRenamed("fn", "caller"), ["repo_id", "caller"])
+        .select("repo_id", "called", "name").distinct()
+    ) if depth > 1 else None
+    leads = direct
+    for _ in range(depth - 1):
+        carried = passes.join(leads, named).drop("name").withColumnRenamed("called", "name")
+        step = cut(_united(carried.unionByName(direct), named))
+        if leads is not direct:
+            forget(leads)
+        leads = step
+    borne = owner.join(graph.names, ["repo_id", "fn"]).select("repo_id", "path", "name").distinct()
+    met = _united(borne.join(leads, named).drop("name"), ["repo_id", "path"])
+    others = F.sum(sum((F.bit_count(b) for b in BITS[1:]), F.bit_count(BITS[0]))).alias("met")
+    own = places.select("repo_id", "path", *_as_bits("ordinal"))
+    is_met = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"o.{b}"))) for b in BITS[1:]), F.bit_count(F.col("b0").bitwiseAND(F.col("o.b0"))))
+    itself = met.join(own.select("repo_id", "path", "block", F.struct(*BITS).alias("o")), ["repo_id", "path", "block"]).select("repo_id", "path", is_met.alias("itself"))
+    counts = met.groupBy("repo_id", "path").agg(others).join(itself, ["repo_id", "path"], "left").select(
+        "repo_id", "path", (F.col("met") - F.coalesce("itself", F.lit(0))).alias("affected_files")
+    )
     return (
         files.select("repo_id", "path")
         .join(counts, ["repo_id", "path"], "left")
-        .select("repo_id", "path", F.coalesce("affected_files", F.lit(0)).alias("affected_files"))
+        .select("repo_id", "path", F.coalesce("affected_files", F.lit(0).cast("long")).alias("affected_files"))
     )
 
 

@@ -229,3 +229,40 @@ def test_innermost_function_in_a_generated_file(spark):
     assert rows == n
     # a row per line and level, and two per function and level at most
     assert sum(v for k, v in _shuffled(spark).items() if k not in seen) < 40 * n
+
+
+def test_affected_files_of_all_files_against_walks(spark):
+    """Bit sets over several blocks of 512 files, with names that many share, against a walk from every file."""
+    import random
+
+    rng = random.Random(5)
+    n = 1200
+    functions = [("r", f"m{k:04}.py", f"m{k}.f{j}", "hot" if rng.random() < 0.01 else f"n{rng.randrange(2 * n)}", 1) for k in range(n) for j in range(2)]
+    functions += [("r", "m0001.py", "m0.f0", functions[0][3], 9), ("s", "a.py", "a.f", "f", 1), ("s", "b.py", "b.g", "g", 1), ("s", "empty.py", "e.f", "h", 1)]
+    sites = [("r", q, rng.choice(["hot", f"n{rng.randrange(2 * n)}", f"n{rng.randrange(60)}"]), 3) for _, _, q, _, _ in functions[: 2 * n] if rng.random() < 0.7]
+    sites += [("s", "a.f", "g", 1), ("s", "b.g", "f", 2), ("s", "a.f", "f", 3), ("r", "no such caller", "hot", 1)]
+    f = spark.createDataFrame(functions, "repo_id string, file_path string, qualified_name string, name string, start_line int")
+    c = spark.createDataFrame(sites, "repo_id string, caller_qname string, callee_name string, line int")
+    files = f.selectExpr("repo_id", "file_path as path").distinct().unionByName(spark.createDataFrame([("s", "lone.py")], "repo_id string, path string"))
+    graph = traverse.CallNames.of(c, f)
+    bearers, files_of, calls = {}, {}, {}
+    for repo, path, q, name, _ in functions:
+        bearers.setdefault((repo, name), set()).add(q)
+        files_of.setdefault((repo, q), set()).add(path)
+    callers = {}
+    for repo, q, name, _ in sites:
+        if (repo, q) in files_of:
+            for g in bearers.get((repo, name), ()):
+                callers.setdefault((repo, g), set()).add(q)
+    for depth in (1, 3):
+        want = {}
+        for repo, path in {(r, p) for r, p, _, _, _ in functions} | {("s", "lone.py")}:
+            at, seen = {q for r, p, q, _, _ in functions if (r, p) == (repo, path)} if depth == 1 or repo == "s" or path < "m0040" else None, set()
+            if at is None:
+                continue
+            for _ in range(depth):
+                at = set().union(*(callers.get((repo, q), set()) for q in at)) - seen
+                seen |= at
+            want[repo, path] = len(set().union(*(files_of[repo, q] for q in seen)) - {path})
+        got = {(r.repo_id, r.path): r.affected_files for r in traverse.blast_radius_all(graph, f, files, depth).collect()}
+        assert {k: got[k] for k in want} == want and len(got) == n + 4 and max(want.values()) > 10
