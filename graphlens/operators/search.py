@@ -1,16 +1,15 @@
-"""Tokens and their postings, and vector search by cosine."""
+"""Tokens and their postings, and vectors of texts."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}_]+"), lambda t: t != "")
 
@@ -31,63 +30,6 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
-ITEMS, QUERIES = 2048, 512
-
-
-def _packed(rows: DataFrame, name: str, size: int, group: str | None) -> DataFrame:
-    """Rows (id, vector) in blocks of about `size`, dealt by a hash, so that no key decides where a row goes."""
-    count = max(1, -(-rows.count() // size))
-    keys = ["block", *([group] if group else [])]
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(f"{name}_id"), F.lit(count)).cast("int"))
-    return dealt.groupBy(*keys).agg(
-        F.collect_list(F.struct(F.col(f"{name}_id").alias("id"), F.col("vector").cast("array<double>").alias("v"))).alias(f"{name}_rows")
-    ).drop("block")
-
-
-def semantic_search(items: DataFrame, queries: DataFrame, limit: int = 10, group: str | None = None) -> DataFrame:
-    """The `limit` items closest to each query: (query_id, item_id, score, rank).
-
-    `items` has item_id and vector, `queries` query_id and vector. With `group`
-    both have that column and a query sees only its group, before the cut. Any
-    number of queries may be asked: blocks of them meet blocks of items, which are
-    multiplied as matrices, and only the best of a block are ranked. Vectors without
-    a length have no score and come last.
-    """
-    left, right = _packed(items, "item", ITEMS, group), _packed(queries, "query", QUERIES, group)
-    met = left.join(right, group) if group else left.crossJoin(right)  # of blocks, not of rows
-    kinds = [items.schema["item_id"].dataType, queries.schema["query_id"].dataType]
-    schema = T.StructType([
-        T.StructField("query_id", kinds[1]), T.StructField("item_id", kinds[0]), T.StructField("score", T.DoubleType()),
-    ])
-
-    def best(batches):
-        import numpy as np
-
-        def unit(rows):
-            m = np.array([r["v"] for r in rows], float)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-
-        for pdf in batches:
-            for some, asked in zip(pdf["item_rows"], pdf["query_rows"], strict=True):
-                scores = unit(asked) @ unit(some).T
-                ids = [r["id"] for r in some]
-                order = np.argsort(np.array(ids), kind="stable")
-                for q, row in zip(asked, scores, strict=True):
-                    top = order[np.argsort(-np.nan_to_num(row[order], nan=-2.0), kind="stable")[:limit]]
-                    yield pd.DataFrame({
-                        "query_id": [q["id"]] * len(top), "item_id": [ids[i] for i in top], "score": [None if np.isnan(row[i]) else float(row[i]) for i in top],
-                    })
-
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return (
-        met.select("item_rows", "query_rows").repartition(n).mapInPandas(best, schema)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-    )
-
-
 def embed(df: DataFrame, text: Column, encode=None, dims: int = 384) -> DataFrame:
     """Add `vector`, of length one.
 
