@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.skew import running_total, split_hot_join
 from graphlens.llm.common import FOLD, Substrings, mix, slices, small_batches, text_buffers
-from graphlens.session import cut
+from graphlens.session import cut, forget
 
 LONGEST = 4
 LEAST = 30
@@ -20,16 +20,17 @@ REPORTED = 2000
 NO_LANG = "und"
 SLICE = 1_000_000
 SPREAD = 4096
-BITS_PER_PAIR, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 30
+BITS_EACH, FEWEST_BITS, MOST_BITS = 64, 1 << 16, 1 << 30
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 U64 = np.uint64
+STEP = U64(0x9E3779B97F4A7C15)
 
 GAP = np.zeros(256, bool)  # between words
 GAP[[9, 32]] = True
 END = np.zeros(256, bool)  # between pieces
 END[[*b".,;:!?", 10, 11, 12, 13]] = True
 
-PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 WINDOWS = pa.schema([("lang", pa.string()), *((w, pa.string()) for w in WORDS), ("n", pa.int64())])
 
 
@@ -51,10 +52,19 @@ class Words:
         self.follows = np.zeros(len(self.starts), bool)
         self.follows[:-1] = (self.rows[1:] == self.rows[:-1]) & (closed[self.starts[1:]] == closed[self.ends[:-1]])
 
+    def singles(self) -> np.ndarray:
+        """A hash of language and word for every word."""
+        return mix(self.hashes + self.langs)
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Words with a follower, and a hash of language, word and follower."""
         at = np.flatnonzero(self.follows)
-        return at, mix(self.hashes[at] * U64(0x9E3779B97F4A7C15) + mix(self.hashes[at + 1] + self.langs[at]))
+        return at, mix(self.hashes[at] * STEP + mix(self.hashes[at + 1] + self.langs[at]))
+
+    def triples(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that begin two overlapping pairs marked in `pair`, and a hash of language and the three words."""
+        at = np.flatnonzero(pair[:-1] & pair[1:])
+        return at, mix(mix(self.hashes[at] * STEP + mix(self.hashes[at + 1] + self.langs[at])) * STEP + self.hashes[at + 2])
 
     def text(self, index: np.ndarray) -> pa.Array:
         """The words of that index, empty for -1."""
@@ -94,54 +104,73 @@ def _read(batch: pa.RecordBatch, limit: int | None = None) -> Iterator[tuple[Wor
                 yield Words(own[first:last], np.array([0, last - first]), langs[a:b]), batch.column("lang").slice(a, 1)
 
 
-def _pairs(batches):
-    for batch in batches:
-        for words, _ in _read(batch):
-            _, pairs = words.pairs()
-            found, n = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], schema=PAIRS)
-
-
-def windows(words: Words, langs: pa.Array, common: np.ndarray | None) -> pa.RecordBatch:
-    """The window of each word, as far as its piece goes and its pairs are common; equal ones counted together."""
-    n = len(words.starts)
-    goes_on = words.follows.copy()
-    if common is not None:
-        at, pairs = words.pairs()
-        bit = pairs >> U64(64 - (len(common) * 8).bit_length() + 1)
-        goes_on[at] &= (common[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8) & 1).astype(bool)
-    place, key, held = np.arange(n), words.langs.copy(), []
-    for k in range(LONGEST):
-        held.append(place)
-        key = mix(key * U64(0x9E3779B97F4A7C15) + np.where(place < 0, U64(k + 1), words.hashes[place]))
-        place = np.where((place >= 0) & goes_on[place], place + 1, -1)
+def _within(common: np.ndarray | None, grams: np.ndarray) -> np.ndarray:
+    """Which hashes a bit map holds; without a map, all."""
+    if common is None:
+        return np.ones(len(grams), bool)
+    bit = grams >> U64(64 - (len(common) * 8).bit_length() + 1)
+    return (common[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _marked(words: Words, short: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Per word, whether it can be common, and whether the pair it begins can be."""
+    pair = np.zeros(len(words.starts), bool)
+    at, pairs = words.pairs()
+    pair[at] = _within(short, pairs)
+    return _within(short, words.singles()), pair
+
+
+def windows(words: Words, langs: pa.Array, short: np.ndarray | None = None, long: np.ndarray | None = None) -> pa.RecordBatch:
+    """The window of each word, as far as its piece goes and its words, pairs and triples can be common; equal ones counted together."""
+    here = np.arange(len(words.starts))
+    single, pair = _marked(words, short)
+    triple = np.zeros(len(here), bool)
+    at, triples = words.triples(pair)
+    triple[at] = _within(long, triples)
+    pair &= single
+    triple &= single
+    both = triple & np.concatenate([triple[1:], [False]])
+    held = [np.where(goes, here + k, -1) for k, goes in enumerate((single, pair, triple, both))]
+    key = words.langs.copy()
+    for k, place in enumerate(held):
+        key = mix(key * STEP + np.where(place < 0, U64(k + 1), words.hashes[place]))
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
     return pa.RecordBatch.from_arrays(
         [langs.take(pa.array(words.rows[first])).cast(pa.string()), *(words.text(h[first]) for h in held), pa.array(counts)], schema=WINDOWS
     )
 
 
-def common_pairs(texts: DataFrame, least: int) -> np.ndarray:
-    """A bit map that holds every pair of neighbouring words with at least `least` occurrences in its language.
+def common_grams(texts: DataFrame, least: int, short: np.ndarray | None = None) -> np.ndarray:
+    """A bit map that holds every word and pair with `least` occurrences in its language; with that map, every triple.
 
-    Pairs are counted by hash, so all that are common are in it, and 1 in 16 others.
-    There are 16 bits per common pair, and at most 2^30: beyond 67 million common
-    pairs it lets more of the others through, which costs rows but changes nothing.
+    Words and pairs are counted by hash, and then the triples of pairs in the map. So
+    all that are common are in it, and 1 in 64 others. There are 64 bits for each that
+    is common, and at most 2^30: beyond 16 million common ones a map lets more of the
+    others through, which costs rows but changes nothing.
     """
-    counted = small_batches(texts).mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    kept = cut(counted.select("pair"))
+    held = None if short is None else texts.sparkSession.sparkContext.broadcast(short)
+
+    def run(batches):
+        for batch in batches:
+            for words, _ in _read(batch):
+                grams = np.concatenate([words.singles(), words.pairs()[1]]) if held is None else words.triples(_marked(words, held.value)[1])[1]
+                found, n = np.unique(grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], schema=GRAMS)
+
+    counted = small_batches(texts).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    kept = cut(counted.select("gram"))
     bits = FEWEST_BITS
-    wanted = kept.count() * BITS_PER_PAIR
+    wanted = kept.count() * BITS_EACH
     while bits < min(wanted, MOST_BITS):
         bits *= 2
-    shift = 64 - bits.bit_length() + 1
-    marks = kept.select(F.shiftrightunsigned("pair", shift).alias("bit")).distinct()
+    marks = kept.select(F.shiftrightunsigned("gram", 64 - bits.bit_length() + 1).alias("bit")).distinct()
     # the words of 64 bits that are not empty, each made of at most 64 rows
     parts = marks.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
     blocks = parts.groupBy(F.shiftright("at", 9).alias("block")).agg(F.collect_list(F.struct("at", "word")).alias("words"))
     out = np.zeros(bits // 64, U64)
     for r in blocks.select("words.at", "words.word").toLocalIterator():
         out[np.array(r[0], np.int64)] = np.array(r[1], np.int64).view(U64)
+    forget(kept)
     return out.view(np.uint8)
 
 
@@ -151,16 +180,19 @@ def phrase_counts(texts: DataFrame, least: int = LEAST) -> DataFrame:
     Every word opens one window: itself and the words after it in its piece, up to
     four, padded with empty ones. Only these longest windows are counted; Spark's
     ROLLUP over their columns then sums shorter and shorter prefixes, down to the
-    words and the language. A window ends early where the next pair of words cannot
-    be common, as no common phrase holds it; its prefixes stay what they are.
+    words and the language. A window ends early where its next pair or triple of words
+    cannot be common, as no common phrase holds it, and is empty where its first word
+    cannot be; it still counts for the prefixes that can, and for the language.
     """
-    common = texts.sparkSession.sparkContext.broadcast(common_pairs(texts, least))
+    share = texts.sparkSession.sparkContext.broadcast
+    pairs = common_grams(texts, least)
+    short, long = share(pairs), share(common_grams(texts, least, pairs))
 
     def run(batches):
         for batch in batches:
             for words, langs in _read(batch):
                 if len(words.starts):
-                    yield windows(words, langs, common.value)
+                    yield windows(words, langs, short.value, long.value)
 
     columns = ["lang", *WORDS]
     counted = small_batches(texts).mapInArrow(run, ", ".join(f"{c} string" for c in columns) + ", n long")

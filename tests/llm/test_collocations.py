@@ -82,15 +82,18 @@ def test_windows_of_long_texts_do_not_depend_on_slices():
     for limit in (10, 200, 1 << 20):
         total = Counter()
         for words, langs in collocations._read(batch, limit):
-            w = collocations.windows(words, langs, None).to_pydict()
+            w = collocations.windows(words, langs).to_pydict()
             for row in zip(*(w[c] for c in collocations.WORDS), w["n"], strict=True):
                 total[row[:-1]] += row[-1]
         seen.append(total)
     assert seen[0] == seen[1] == seen[2] and sum(seen[0].values()) == sum(len(p) for p in pieces(text))
 
 
-def test_windows_end_at_rare_pairs():
+def test_windows_end_at_rare_words_pairs_and_triples():
     batch = pa.RecordBatch.from_pydict({"lang": ["x"], "text": ["a b c d"]})
     ((words, langs),) = collocations._read(batch)
-    none = collocations.windows(words, langs, np.zeros(8, np.uint8)).to_pydict()
-    assert set(none["w2"]) == {""} and sorted(none["w1"]) == ["a", "b", "c", "d"]
+    none, every = np.zeros(8, np.uint8), np.full(8, 255, np.uint8)
+    empty = collocations.windows(words, langs, none).to_pydict()
+    assert empty == {"lang": ["x"], **{w: [""] for w in collocations.WORDS}, "n": [4]}
+    two = collocations.windows(words, langs, every, none).to_pydict()
+    assert sorted(zip(two["w1"], two["w2"], strict=True)) == [("a", "b"), ("b", "c"), ("c", "d"), ("d", "")] and set(two["w3"]) == {""}
