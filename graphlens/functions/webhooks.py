@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64  # bytes in a SHA-256 block
@@ -22,8 +22,8 @@ def provider(headers: Column) -> Column:
     )
 
 
-def hmac_sha256(key: Column, message: Column) -> Column:
-    """HMAC of a text message under a text key, as lower-case hex, from built-ins."""
+def pads(key: Column) -> Column:
+    """struct(inner, outer): what a text key contributes to an HMAC-SHA256, the same for every message."""
     raw = F.encode(key, "utf-8")
     short = F.when(F.octet_length(raw) > BLOCK, F.sha2(raw, 256)).otherwise(F.lower(F.hex(raw)))
     padded = F.rpad(short, BLOCK * 2, "0")
@@ -35,16 +35,31 @@ def hmac_sha256(key: Column, message: Column) -> Column:
         )
         return F.unhex(F.array_join(digits, ""))
 
-    inner = F.sha2(F.concat(xored(0x36), F.encode(message, "utf-8")), 256)
-    return F.sha2(F.concat(xored(0x5C), F.unhex(inner)), 256)
+    return F.struct(xored(0x36).alias("inner"), xored(0x5C).alias("outer"))
+
+
+def hmac_with(pads_: Column, message: Column) -> Column:
+    """HMAC of a text message, as lower-case hex, from the pads of its key."""
+    inner = F.sha2(F.concat(pads_["inner"], F.encode(message, "utf-8")), 256)
+    return F.sha2(F.concat(pads_["outer"], F.unhex(inner)), 256)
+
+
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """HMAC of a text message under a text key. Where keys repeat, join `padded_secrets` instead."""
+    return hmac_with(pads(key), message)
+
+
+def padded_secrets(hooks: DataFrame) -> DataFrame:
+    """(secret, pads): the pads of every distinct secret, made once however many deliveries it signs."""
+    return hooks.select("secret").where("secret <> ''").distinct().withColumn("pads", pads(F.col("secret")))
 
 
-def genuine(provider_: Column, headers: Column, body: Column, secret: Column, query_token: Column) -> Column:
-    """Whether a delivery proves knowledge of the secret in its provider's way."""
+def genuine(provider_: Column, headers: Column, body: Column, secret: Column, query_token: Column, pads_: Column) -> Column:
+    """Whether a delivery proves knowledge of the secret (and its pads) in its provider's way."""
     h = lower_keys(headers)
     head = lambda k: F.coalesce(F.element_at(h, k), F.lit(""))
     proof = (
-        F.when(provider_ == "github", head("x-hub-signature-256") == F.concat(F.lit("sha256="), hmac_sha256(secret, body)))
+        F.when(provider_ == "github", head("x-hub-signature-256") == F.concat(F.lit("sha256="), hmac_with(pads_, body)))
         .when(provider_ == "gitlab", head("x-gitlab-token") == secret)
         .when(provider_ == "bitbucket", F.coalesce(query_token, F.lit("")) == secret)
         .otherwise(False)

@@ -27,6 +27,29 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+LATE = "batch bigint, rows bigint, late bigint"
+
+
+def drain_counted(stream: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """As `drain`, and a table of its batches: rows read, and rows that came behind the watermark and were dropped.
+
+    The counts are those of the stream's own progress, one row per batch that read
+    anything, appended to a table when the batch is done, as a listener would.
+    """
+    spark = stream.sparkSession
+    out, state, late = (scratch_path(spark, x) for x in (label, f"{label}-state", f"{label}-late"))
+    query = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    done = {p["batchId"]: p for p in query.recentProgress}
+    rows = [
+        (k, p["numInputRows"], sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])) for k, p in sorted(done.items()) if p["numInputRows"]
+    ]
+    spark.createDataFrame(rows, LATE).write.parquet(late)
+    return spark.read.schema(stream.schema).parquet(out), spark.read.schema(LATE).parquet(late)
+
+
 def drain_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None]) -> None:
     """Hand every micro-batch of the available input to `handle`."""
     state = scratch_path(stream.sparkSession, f"{label}-state")

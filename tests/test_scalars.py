@@ -170,3 +170,42 @@ def test_scan_of_a_folder(spark, tmp_path):
     got = trees.scan_tree(spark, str(tmp_path), "r")
     assert {r.path for r in got.collect()} == {"a.py", "src/d.go"}
     assert {(r.path, r.size_bytes) for r in trees.fingerprint(got).collect()} == {("a.py", 1), ("src/d.go", 1)}
+
+
+def test_pads_are_made_once_per_secret(spark):
+    import hashlib
+    import hmac
+
+    from graphlens.functions import webhooks
+
+    secrets = ["s", "k" * 64, "long " * 30, "é漢"]
+    rows = [(k, secrets[k % 4], f"body {k} é") for k in range(40)] + [(40, "", "x"), (41, None, "x")]
+    sent = spark.createDataFrame(rows, "id int, secret string, body string")
+    padded = webhooks.padded_secrets(sent)
+    assert padded.count() == len(secrets)
+    got = {r.id: r.h for r in sent.join(padded, "secret", "left").select("id", webhooks.hmac_with(F.col("pads"), F.col("body")).alias("h")).collect()}
+    assert got == {k: hmac.new(s.encode(), b.encode(), hashlib.sha256).hexdigest() if s else None for k, s, b in rows}
+
+
+def test_deliveries_count_once_and_only_with_proof(spark):
+    import hashlib
+    import hmac
+    import json
+
+    from graphlens.streaming import deliveries
+
+    body = json.dumps({"ref": "refs/heads/x", "repository": {"full_name": "o/r"}})
+    sign = lambda key: "sha256=" + hmac.new(key.encode(), body.encode(), hashlib.sha256).hexdigest()
+    head = lambda key: {"X-GitHub-Event": "push", "X-Hub-Signature-256": sign(key)}
+    at = "2024-01-01 00:0"
+    sent = [
+        (1, "a", at + "0:00", head("wrong"), body, None), (1, "a", at + "1:00", head("one"), body, None), (1, "a", at + "2:00", head("one"), body, None),
+        (2, "a", at + "0:00", head("two"), body, None), (2, "b", at + "0:00", head("one"), body, None), (3, "a", at + "0:00", head(""), body, None),
+        (9, "a", at + "0:00", head("one"), body, None), (1, "c", at + "0:00", head("one") | {"X-GitHub-Event": "ping"}, body, None), (1, "d", at + "0:00", {}, None, None),
+    ]
+    raw = spark.createDataFrame(sent, "source_id int, delivery_id string, ts string, headers map<string,string>, body string, query_token string").withColumn("ts", F.to_timestamp("ts"))
+    known = deliveries.hooks(spark.createDataFrame([(1, "one"), (2, "two"), (3, ""), (4, None)], "id int, webhook_secret string"))
+    links = spark.createDataFrame([(1, "o/r", "repo-1")], "source_id int, full_name string, repo_id string")
+    repos = spark.createDataFrame([("repo-1", None)], "id string, last_indexed_at timestamp")
+    rows = {(r.source_id, r.delivery_id): (r.full_name, r.ref, r.repo_id, r.matched, r.mode, r.ts.minute) for r in deliveries.runs(raw, known, links, repos).collect()}
+    assert rows == {(1, "a"): ("o/r", "refs/heads/x", "repo-1", True, "full", 1), (2, "a"): ("o/r", "refs/heads/x", None, False, None, 0)}

@@ -6,7 +6,7 @@ import hashlib
 import hmac
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -432,10 +432,9 @@ def _signed(body: pd.Series) -> pd.Series:
 SECRET = "top secret of the hook"
 
 
-def _deliveries(bed: Bed) -> DataFrame:
-    """A delivery per event. Errors are forged, views are not pushes, clicks have broken bodies."""
-    e = bed.table("events").withColumn("p", F.col("event_id") % 4)
-    name = F.concat(F.lit("org/r"), F.col("user_id").cast("string"))
+def deliveries(events: DataFrame, name: Column) -> DataFrame:
+    """A delivery per event, of pushes to `name`. Errors are forged, views are not pushes, clicks have broken bodies."""
+    e = events.withColumn("p", F.col("event_id") % 4)
     body = (
         F.when(F.col("event_type") == "click", F.lit("{broken"))
         .when(F.col("p") == 1, F.to_json(F.struct(F.lit("refs/heads/dev").alias("ref"), F.struct(name.alias("path_with_namespace")).alias("project"))))
@@ -456,6 +455,10 @@ def _deliveries(bed: Bed) -> DataFrame:
     return e.select("event_id", "ts", "user_id", headers.alias("headers"), "body", secret.alias("secret"), token.alias("query_token"))
 
 
+def _deliveries(bed: Bed) -> DataFrame:
+    return deliveries(bed.table("events"), F.concat(F.lit("org/r"), F.col("user_id").cast("string")))
+
+
 @query("webhook_provider", """
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' WHEN 2 THEN 'bitbucket' ELSE '-' END AS provider FROM events
 """)
@@ -467,9 +470,9 @@ def _(bed: Bed):
 SELECT event_id, event_id % 4 <> 3 AND event_type <> 'error' AND user_id <= 140 AS genuine FROM events
 """)
 def _(bed: Bed):
-    h = F.col("headers")
-    return _deliveries(bed).select(
-        "event_id", webhooks.genuine(webhooks.provider(h), h, F.col("body"), F.col("secret"), F.col("query_token")).alias("genuine")
+    h, sent = F.col("headers"), _deliveries(bed)
+    return sent.join(webhooks.padded_secrets(sent), "secret", "left").select(
+        "event_id", webhooks.genuine(webhooks.provider(h), h, F.col("body"), F.col("secret"), F.col("query_token"), F.col("pads")).alias("genuine")
     )
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from graphlens.operators import registry
 from graphlens.session import scratch_path
+from graphlens.streaming import deliveries
 from graphlens.streaming import ingest as live
 from graphlens.streaming import runs as run_stream
 from graphlens.streaming import usage as usage_stream
-from graphlens.streaming.run import drain, drain_batches, read_files
+from graphlens.streaming.run import drain, drain_batches, drain_counted, read_files
+from workload import feeds
 from workload.harness import Bed, query
 from workload.ingest import rendered
 from workload.service import stamp
@@ -99,6 +101,72 @@ def _(bed: Bed):
     return drain(out, "pushes")
 
 
+RUNS_ASKED_FOR = """
+SELECT p.event_id, g.id IS NOT NULL AS matched, CASE WHEN g.id IS NULL THEN '-' WHEN g.last_indexed_at IS NULL THEN 'full' ELSE 'incremental' END AS mode
+FROM (SELECT * FROM v_pushes JOIN events USING (event_id)
+      WHERE event_id % 4 <> 3 AND event_type NOT IN ('error', 'view', 'click') AND source_id % 5 <> 4) p
+LEFT JOIN v_source_repos l ON l.source_id = p.source_id AND l.full_name = p.full_name LEFT JOIN v_registry g ON g.id = l.repo_id
+"""
+
+
+def _raw(bed: Bed, events: DataFrame) -> DataFrame:
+    """Every delivery as it is posted: first a forged copy, then the genuine one, then a replay of it."""
+    kind, org = F.col("event_type"), (F.col("user_id") % 25).cast("int")
+    name = F.concat(
+        F.lit("Org_"), org.cast("string"), F.lit("/"), F.when(kind == "purchase", "FURNITURE").otherwise("HOUSEHOLD"), F.lit("."), (F.col("user_id") % 40).cast("string")
+    )
+    sent = feeds.deliveries(events, name).withColumn("source_id", (F.col("user_id") % 25).cast("int"))
+    forged = F.transform_values("headers", lambda k, v: F.when(F.lower(k).contains("signature") | F.lower(k).contains("token"), F.lit("forged")).otherwise(v))
+    copies = sent.withColumn("copy", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    return copies.select(
+        "source_id", F.col("event_id").alias("delivery_id"), (F.col("ts") + F.make_dt_interval(mins=F.col("copy"))).alias("ts"),
+        F.when(F.col("copy") == 0, forged).otherwise(F.col("headers")).alias("headers"), "body",
+        F.when(F.col("copy") == 0, "forged").otherwise(F.col("query_token")).alias("query_token"),
+    )
+
+
+def _hooks(bed: Bed) -> DataFrame:
+    """The sources of the deliveries; a fifth of them takes none."""
+    ids = bed.table("nation").select(F.col("n_nationkey").cast("int").alias("id"))
+    return deliveries.hooks(ids.withColumn("webhook_secret", F.when(F.col("id") % 5 != 4, feeds.SECRET)))
+
+
+@query("stream_deliveries", RUNS_ASKED_FOR)
+def _(bed: Bed):
+    asked = deliveries.runs(_raw(bed, _events(bed)), _hooks(bed), bed.view("v_source_repos"), bed.view("v_registry"))
+    return drain(asked.select(F.col("delivery_id").alias("event_id"), "matched", F.coalesce("mode", F.lit("-")).alias("mode")), "deliveries")
+
+
+@query("push_deliveries", RUNS_ASKED_FOR)
+def _(bed: Bed):
+    """The batch twin of the stream."""
+    events = bed.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    asked = deliveries.runs(_raw(bed, events), _hooks(bed), bed.view("v_source_repos"), bed.view("v_registry"))
+    return asked.select(F.col("delivery_id").alias("event_id"), "matched", F.coalesce("mode", F.lit("-")).alias("mode"))
+
+
+# a batch drops what lies behind the watermark that the batch before it worked with, which the batches before that had set
+# three arrivals: the later half of the events, then all others on time or behind, then a third of the first once more under new ids
+@query("stream_late_rows", f"""
+WITH a AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 1 WHEN ts >= (SELECT median(ts) FROM events) THEN 0 ELSE 2 END AS batch, ts FROM events),
+w AS (SELECT batch, count(*) AS n, epoch_ms(max(ts)) - 600000 AS mark FROM a GROUP BY 1)
+SELECT a.batch, count(*) AS rows, count(*) FILTER (epoch_ms(a.ts) < (SELECT coalesce(max(w.mark), -1) FROM w WHERE w.batch < a.batch - 1)) AS late
+FROM a GROUP BY 1
+""")
+def _(bed: Bed):
+    """How many rows of each arrival came behind the watermark and were dropped."""
+    events = bed.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    half = events.agg(F.median(F.unix_micros("ts")).alias("m")).first().m
+    arrival = F.when(F.col("event_id") % 3 == 0, 1).when(F.unix_micros("ts") >= half, 0).otherwise(2)
+    folder = scratch_path(bed.spark, "arrivals")
+    for k in range(3):  # written one after the other, and read in the order of their times
+        events.where(arrival == k).coalesce(1).write.mode("append").parquet(folder)
+    arrivals = bed.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    _, late = drain_counted(usage_stream.first_deliveries(arrivals.withColumnRenamed("event_id", "delivery_id")), "late")
+    return late
+
+
 @query("stream_stuck_runs", f"""
 WITH last AS (SELECT user_id AS run_id, arg_max(event_type, event_id) AS kind, max(ts) AS since FROM events GROUP BY 1)
 SELECT run_id, CASE WHEN kind = 'signup' THEN 'requeue' ELSE 'fail' END AS action
