@@ -44,7 +44,7 @@ def resolve_calls(sites: DataFrame, functions: DataFrame) -> DataFrame:
     """Call edges: every function of the repo that bears the written name."""
     return split_hot_join(
         written_calls(sites, functions), named_functions(functions), ["repo_id", "name"], F.col("caller"),
-        counted=sites.select("repo_id", F.col("callee_name").alias("name")),
+        counted=sites.select("repo_id", F.col("callee_name").alias("name")), spread_right=F.col("fn"),
     ).select("repo_id", F.col("caller").alias("src"), F.col("fn").alias("dst"), "line")
 
 
@@ -152,7 +152,7 @@ def file_call_edges_by_name(sites: DataFrame, functions: DataFrame) -> DataFrame
     return (
         split_hot_join(
             callers, defined, ["repo_id", "name"], F.col("src"),
-            counted=sites.select("repo_id", F.col("callee_name").alias("name")),
+            counted=sites.select("repo_id", F.col("callee_name").alias("name")), spread_right=F.col("dst"),
         )
         .filter(F.col("src") != F.col("dst"))
         .groupBy("repo_id", "src", "dst")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -204,8 +206,8 @@ def run_deltas(runs: DataFrame) -> DataFrame:
 def page(df: DataFrame, order: list[Column | str], page_no: int, size: int = 25) -> DataFrame:
     """One page of a sorted list; a page past the end means the last one.
 
-    Sort, offset and limit become one top-k per partition. Deep pages of large
-    lists should start `df` after the last key seen instead.
+    Sort, offset and limit become one top-k per partition. It counts the list and
+    reads what it skips; `page_after` does neither.
     """
     total = df.count()
     last = max(0, -(-total // size) - 1)
@@ -222,6 +224,58 @@ def search_page(df: DataFrame, text: str, columns: list[str], order: list[Column
     return page(df, order, page_no, size)
 
 
+@dataclass(frozen=True)
+class Key:
+    """A column to sort by; the keys of a list together tell its rows apart."""
+
+    name: str
+    descending: bool = False
+    nulls_first: bool = True
+
+    def order(self) -> Column:
+        c = F.col(self.name)
+        if self.descending:
+            return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
+        return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
+
+    def beyond(self, value, or_at: bool = False) -> Column:
+        """Whether a row's key comes after `value` in this order, or is at it as well."""
+        c = F.col(self.name)
+        if value is None:
+            later = c.isNotNull() if self.nulls_first else F.lit(False)
+            return (later | c.isNull()) if or_at else later
+        if self.descending:
+            later = c <= F.lit(value) if or_at else c < F.lit(value)
+        else:
+            later = c >= F.lit(value) if or_at else c > F.lit(value)
+        return later if self.nulls_first else later | c.isNull()
+
+
+def page_after(df: DataFrame, keys: list[Key], after: Sequence | None = None, size: int = 25) -> DataFrame:
+    """The page that follows the row with the key values `after` (the first page without).
+
+    A row follows if, at the first key in which it differs, it comes later in that
+    key's own direction. The bound on the first key alone stands beside, as that
+    reaches the scan. Nothing is counted or skipped: any page is one top-k over what
+    is left of the list, and rows added before it do not shift it.
+    """
+    if after is not None:
+        follows = F.lit(False)
+        for k, key in enumerate(keys):
+            same = F.lit(True)
+            for earlier, value in zip(keys[:k], after, strict=False):
+                same = same & F.col(earlier.name).eqNullSafe(F.lit(value))
+            follows = follows | (same & key.beyond(after[k]))
+        df = df.filter(keys[0].beyond(after[0], or_at=True)).filter(follows)
+    return df.orderBy(*[k.order() for k in keys]).limit(size)
+
+
+def last_key(rows: DataFrame, keys: list[Key]) -> tuple | None:
+    """Key values of the last row of a page, to ask for the next one by; None after an empty page."""
+    found = rows.select(*[k.name for k in keys]).tail(1)
+    return tuple(found[0]) if found else None
+
+
 def repo_picker(repos: DataFrame) -> DataFrame:
     """Indexed repos first, then by name."""
     return repos.orderBy(F.col("last_indexed_at").isNull(), "id")

@@ -202,7 +202,7 @@ def apply_batch(root: str, batch: DataFrame) -> None:
     )
     wanted = named(on.select(*key).distinct())
     to = store.rows("bearers", Touched.of(wanted)).join(wanted, [*key, "bucket"], "left_semi").select(*key, F.col("fn").alias("dst")).distinct()
-    found = placed(split_hot_join(on, to, key, F.col("src")), "file_path")
+    found = placed(split_hot_join(on, to, key, F.col("src"), spread_right=F.col("dst")), "file_path")
     stand = purge_files(store.rows("edges", reach), ours).join(names, key, "left_anti")
     gone = cut(placed(
         turned.where("not comes").select("repo_id", "fn").distinct().join(bearers.select("repo_id", "fn").distinct(), ["repo_id", "fn"], "left_anti")

@@ -266,3 +266,25 @@ def test_affected_files_of_all_files_against_walks(spark):
             want[repo, path] = len(set().union(*(files_of[repo, q] for q in seen)) - {path})
         got = {(r.repo_id, r.path): r.affected_files for r in traverse.blast_radius_all(graph, f, files, depth).collect()}
         assert {k: got[k] for k in want} == want and len(got) == n + 4 and max(want.values()) > 10
+
+
+def test_a_name_hot_on_both_sides_is_spread(spark):
+    """Most callers and most bearers share one key: the join is whole, and no partition has much more than its share."""
+    left = spark.range(3000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), F.col("id").alias("a"))
+    right = spark.range(1000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 60)).alias("k"), F.col("id").alias("b"))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("-1", "false"), strict=True):
+            spark.conf.set(n, v)
+        sizes = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        plain = sizes(left.join(right, "k"))
+        got = split_hot_join(left, right, ["k"], F.col("a"), hot_rows=100, spread_right=F.col("b"))
+        spread = sizes(got)
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert sum(spread) == sum(plain) and max(plain) > 0.9 * sum(plain)
+    assert max(spread) < 2 * sum(spread) / 8
+    assert got.exceptAll(left.join(right, "k").select(got.columns)).isEmpty()
+    assert split_hot_join(left.limit(0), right, ["k"], F.col("a"), spread_right=F.col("b")).isEmpty()

@@ -462,6 +462,19 @@ def _(bed: Bed):
     return runs.search_page(bed.view("v_repos").select("id"), "REPO_1", ["id"], ["id"], 10**6)
 
 
+@query("paged_after", """
+SELECT id, coalesce(strftime(last_indexed_at, '%Y-%m-%d %H:%M:%S'), '-') AS indexed FROM v_repos ORDER BY last_indexed_at DESC NULLS LAST, id LIMIT 25 OFFSET 50
+""")
+def _(bed: Bed):
+    """The third page, newest first, each page asked for by the last row of the one before."""
+    keys = [runs.Key("last_indexed_at", descending=True, nulls_first=False), runs.Key("id")]
+    repos, after = bed.view("v_repos").select("id", "last_indexed_at"), None
+    for _ in range(2):
+        after = runs.last_key(runs.page_after(repos, keys, after), keys)
+    shown = F.coalesce(F.date_format("last_indexed_at", "yyyy-MM-dd HH:mm:ss"), F.lit("-"))
+    return runs.page_after(repos, keys, after).select("id", shown.alias("indexed"))
+
+
 @query("repo_picker", "SELECT id, last_indexed_at IS NOT NULL AS indexed FROM v_repos ORDER BY last_indexed_at IS NULL, id")
 def _(bed: Bed):
     return runs.repo_picker(bed.view("v_repos")).select("id", F.col("last_indexed_at").isNotNull().alias("indexed"))
