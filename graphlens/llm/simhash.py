@@ -180,8 +180,8 @@ def near(prints: DataFrame, asked: DataFrame, dense_rows: int = DENSE_ROWS) -> D
     Two fingerprints that differ in at most 6 bits agree in 2 of 8 blocks. There is
     a table per pair of blocks, permuted so that these come first; a bucket is what
     agrees in them, and a pair counts in the first table in which it meets.
-    Members of a bucket are held in lists, 16 per bucket and as many again for every
-    65,536 of them, so that a bucket of any size makes a row per question and list.
+    Members of a bucket are held in a list, one of more than 65,536 in 16 lists for
+    every 65,536, so that a bucket of any size makes a row per question and list.
     """
     members = _tables(prints)
     questions = _tables(asked.select("hi", "lo")).select(F.col("hi").alias("ask_hi"), F.col("lo").alias("ask_lo"), "t", "key")
@@ -189,7 +189,7 @@ def near(prints: DataFrame, asked: DataFrame, dense_rows: int = DENSE_ROWS) -> D
     dense = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > dense_rows).select(
         "key", (F.ceil(F.col("m") / dense_rows) * SPREAD).cast("int").alias("lists")
     )
-    lists = F.coalesce("lists", F.lit(SPREAD))
+    lists = F.coalesce("lists", F.lit(1))
     # at most one key in `dense_rows` members
     spread = lambda df: df.join(F.broadcast(dense), "key", "left")
     in_lists = lambda df: spread(df).withColumn("list", F.explode(F.sequence(F.lit(0), lists - 1))).drop("lists")
