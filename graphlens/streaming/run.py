@@ -15,14 +15,29 @@ def read_files(spark: SparkSession, folder: str, name: str, schema: StructType)
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process all input available now into a table under the shared folder, and read it."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append", state_store: str | None = None, home: str | None = None) -> DataFrame:
+    """Process all input available now into a table under the shared folder, and read it.
+
+    `home` names the folder of an earlier run to go on from; the result holds the rows of all runs.
+    """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state)
-        .trigger(availableNow=True).start()
-    )
+    home = home or scratch_path(spark, label)
+    out, state = f"{home}/rows", f"{home}/state"
+    before = spark.conf.get(STORE, None)
+    if state_store:
+        spark.conf.set(STORE, state_store)  # a query keeps the session's settings of its start
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        if state_store:
+            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

@@ -11,7 +11,7 @@ from graphlens.streaming import deliveries
 from graphlens.streaming import ingest as live
 from graphlens.streaming import runs as run_stream
 from graphlens.streaming import usage as usage_stream
-from graphlens.streaming.run import drain, drain_batches, drain_counted, read_files
+from graphlens.streaming.run import ROCKSDB, drain, drain_batches, drain_counted, read_files
 from workload import feeds
 from workload.harness import Bed, query
 from workload.ingest import rendered
@@ -176,7 +176,7 @@ def _(bed: Bed):
     kind = F.col("event_type")
     status = F.when(kind == "signup", "queued").when(kind == "view", "running").when(kind == "error", "failed").otherwise("success")
     changes = _events(bed).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), status.alias("status"), "ts")
-    return drain(run_stream.stuck_runs(changes), "stuck").select("run_id", "action")
+    return drain(run_stream.stuck_runs(changes), "stuck", state_store=ROCKSDB).select("run_id", "action")
 
 
 @query("stream_ingest", """
