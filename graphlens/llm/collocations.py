@@ -18,7 +18,7 @@ LONGEST = 4
 LEAST = 30
 REPORTED = 2000
 NO_LANG = "und"
-SLICE = 1_000_000
+SLICE = 500_000
 SPREAD = 4096
 BITS_EACH, FEWEST_BITS, MOST_BITS = 64, 1 << 16, 1 << 30
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
