@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphlens.functions.modules import module_candidates, short_name
 from graphlens.operators import architecture as arch
 from graphlens.operators import resolve, traverse
-from graphlens.operators.communities import communities
+from graphlens.operators.communities import both_ways, communities, connected_parts, modularity
 from graphlens.operators.components import cycles
 from workload import views
 from workload.harness import Bed, query
@@ -557,3 +557,26 @@ def _(bed: Bed):
 @query("communities")
 def _(bed: Bed):
     return communities(_file_edges(bed))
+
+
+@query("community_quality", """
+WITH arcs AS (SELECT repo_id, src, dst, weight FROM v_file_edges UNION ALL SELECT repo_id, dst, src, weight FROM v_file_edges),
+t AS (
+  SELECT a.repo_id, s.cluster_id, sum(CASE WHEN s.cluster_id = d.cluster_id THEN weight ELSE 0 END) AS inside, sum(weight) AS total
+  FROM arcs a JOIN v_membership s ON s.repo_id = a.repo_id AND s.path = a.src JOIN v_membership d ON d.repo_id = a.repo_id AND d.path = a.dst GROUP BY 1, 2)
+SELECT repo_id, round(CAST(sum(inside) AS DOUBLE) / sum(total) - sum(CAST(total AS DOUBLE) * total) / (CAST(sum(total) AS DOUBLE) * sum(total)), 6) AS by_directory,
+       true AS connected, true AS as_good
+FROM t GROUP BY 1
+""")
+def _(bed: Bed):
+    """Per repo: the modularity of its directories, whether every community found is connected, and whether they are as good as the directories."""
+    edges = _file_edges(bed)
+    arcs = both_ways(arch.undirected_edges(edges))
+    found = communities(edges).select("repo_id", F.col("path").alias("node"), F.col("cluster_id").alias("label"))
+    folders = bed.view("v_membership").select("repo_id", F.col("path").alias("node"), F.col("cluster_id").alias("label"))
+    parts = connected_parts(arcs, found).groupBy("repo_id").agg(F.countDistinct("label").alias("parts"))
+    kinds = found.groupBy("repo_id").agg(F.countDistinct("label").alias("kinds"))
+    ours, theirs = modularity(arcs, found).withColumnRenamed("q", "ours"), modularity(arcs, folders).withColumnRenamed("q", "theirs")
+    return ours.join(theirs, "repo_id").join(parts, "repo_id").join(kinds, "repo_id").select(
+        "repo_id", F.round("theirs", 6).alias("by_directory"), (F.col("parts") == F.col("kinds")).alias("connected"), (F.col("ours") >= F.col("theirs")).alias("as_good")
+    )
