@@ -89,13 +89,14 @@ class VectorIndex:
 
         def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:  # sorted by cell and group
+                made: list[tuple] = []
                 for (cell, grp), some in pdf.groupby(["cell", "grp"], sort=False, dropna=False):
                     for at in range(0, len(some), ITEMS):
                         own = some.iloc[at : at + ITEMS]
-                        yield pd.DataFrame({
-                            "cell": [cell], "grp": [None if pd.isna(grp) else grp], "n": [len(own)], "radius": [own["angle"].max()],
-                            "ids": [own["item_id"].to_numpy()], "vectors": [np.stack(own["vector"].to_numpy()).astype(float).tobytes()],
-                        })
+                        vectors = np.stack(own["vector"].to_numpy()).astype(float).tobytes()
+                        made.append((cell, None if pd.isna(grp) else grp, len(own), own["angle"].max(), own["item_id"].to_numpy(), vectors))
+                if made:
+                    yield pd.DataFrame(made, columns=["cell", "grp", "n", "radius", "ids", "vectors"])
 
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         sorted_in = (
@@ -120,6 +121,7 @@ class VectorIndex:
 
         def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
+                made: list[tuple] = []
                 for query, key, vector, cells, *kth in zip(*(pdf[c] for c in ("query_id", "key", "vector", "cells", *(() if first else ("kth",)))), strict=True):
                     unit = _unit(pd.Series([vector]))[0]
                     if not np.isfinite(unit).all():
@@ -135,8 +137,9 @@ class VectorIndex:
                         rest = order[near:]
                         radius = np.array([c["radius"] for c in cells])[rest]
                         taken = rest[far[rest] - radius <= _angle(np.array(kth[0])) + SLACK]
-                    if len(taken):
-                        yield pd.DataFrame({"query_id": [query] * len(taken), "key": [key] * len(taken), "vector": [unit] * len(taken), "cell": number[taken].astype(np.int32)})
+                    made += [(query, key, unit, int(c)) for c in number[taken]]
+                if made:
+                    yield pd.DataFrame(made, columns=["query_id", "key", "vector", "cell"])
 
         return asked.mapInPandas(choose, schema)
 
@@ -153,6 +156,7 @@ class VectorIndex:
 
         def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
+                made: list[tuple] = []
                 for ids, vectors, asked in zip(pdf["ids"], pdf["vectors"], pdf["asked"], strict=True):
                     m = np.frombuffer(vectors).reshape(len(ids), -1)
                     q = np.array([a["vector"] for a in asked])
@@ -162,7 +166,9 @@ class VectorIndex:
                         some = np.flatnonzero(row >= -np.partition(-row, k - 1)[k - 1] - SLACK)
                         exact = (m[some] * unit).sum(axis=1)
                         top = np.lexsort((ids[some], -exact))[:limit]
-                        yield pd.DataFrame({"query_id": [a["query_id"]] * len(top), "item_id": ids[some][top], "score": exact[top]})
+                        made += zip([a["query_id"]] * len(top), ids[some][top], exact[top], strict=True)
+                if made:
+                    yield pd.DataFrame(made, columns=["query_id", "item_id", "score"])
 
         return both.mapInPandas(best, schema)
 

@@ -23,8 +23,8 @@ from graphlens.session import children, cut, exists, forget, remove
 from graphlens.sources.trees import fingerprint, snapshot_diff
 from graphlens.tables import SCHEMAS
 
-FILES_PER_BUCKET = 64
-NAMES_PER_FILE = 4
+FILES_PER_BUCKET = 256
+NAMES_PER_FILE = 2
 MOST_PATHS = 4096
 
 OF_FILES = ("files", "functions", "classes", "imports", "call_sites")
@@ -81,7 +81,7 @@ class Store:
         return self.spark.read.schema(LAYOUT).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], LAYOUT)
 
     def settle(self, files: DataFrame) -> DataFrame:
-        """The layout with the repos of `files` (repo_id); a new one gets a bucket for every 64 files it has now."""
+        """The layout with the repos of `files` (repo_id); a new one gets a bucket for every 256 files it has now."""
         path, known = f"{self.root}/layout", self.layout()
         new = files.groupBy("repo_id").agg(F.count("*").alias("n")).join(known, "repo_id", "left_anti").select(
             "repo_id", F.expr(f"cast(power(2, ceil(log2(greatest(ceil(n / {FILES_PER_BUCKET}), 1)))) as int)").alias("buckets")

@@ -92,11 +92,12 @@ def _edges(graph):
     return {(r.src, r.dst, r.line, r.precise) for r in graph.calls.collect()}
 
 
-def test_a_small_batch_costs_what_it_changes(spark, tmp_path):
+def test_a_small_batch_costs_what_it_changes(spark, tmp_path, monkeypatch):
     """Five of 2,000 files: only their buckets and those of their names are read and written; the result is that of a full ingest."""
     from graphlens.plans import live
     from graphlens.plans.incremental import Graph
 
+    monkeypatch.setattr(live, "FILES_PER_BUCKET", 64)
     n, layout = 2000, "repo_id string, path string, content string, seq int"
     root, other = str(tmp_path / "live"), str(tmp_path / "full")
     before = _sources(spark, n)
