@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.modules import module_candidates, short_name
 from graphlens.operators import architecture as arch
-from graphlens.operators import resolve, traverse
+from graphlens.operators import resolve, tools, traverse
 from graphlens.operators.communities import both_ways, communities, connected_parts, modularity
 from graphlens.operators.components import cycles
 from workload import views
@@ -580,3 +580,67 @@ def _(bed: Bed):
     return ours.join(theirs, "repo_id").join(parts, "repo_id").join(kinds, "repo_id").select(
         "repo_id", F.round("theirs", 6).alias("by_directory"), (F.col("parts") == F.col("kinds")).alias("connected"), (F.col("ours") >= F.col("theirs")).alias("as_good")
     )
+
+
+# --- the agent tools in SQL ---------------------------------------------------
+
+
+def _in_sql(bed: Bed, text: str, *values):
+    tools.register(
+        bed.spark, files=bed.view("v_files"), functions=bed.view("v_functions"), classes=bed.view("v_classes"), imports=bed.view("v_imports"), calls=bed.view("v_calls")
+    )
+    return bed.spark.sql(text, args=list(values))
+
+
+@query("sql_callers_of", _closure(CALLED, "dst", "src", 3))
+def _(bed: Bed):
+    repo, fn = bed.view("v_calls").agg(F.min(F.struct("repo_id", "dst")).alias("m")).first().m
+    return _in_sql(bed, "SELECT * FROM callers_of(?, ?, 3) ORDER BY qn, path, line LIMIT 100", repo, fn)
+
+
+@query("sql_callees_of", _closure(START, "src", "dst", 3))
+def _(bed: Bed):
+    repo, fn, _path = _first_caller(bed)
+    return _in_sql(bed, "SELECT * FROM callees_of(?, ?, 3) ORDER BY qn, path, line LIMIT 100", repo, fn)
+
+
+@query("sql_blast_radius", _files_met("dst", "src", 2))
+def _(bed: Bed):
+    repo, _fn, path = _first_caller(bed)
+    return _in_sql(bed, "SELECT * FROM blast_radius(?, ?) ORDER BY path LIMIT 500", repo, path)
+
+
+@query("sql_downstream_dependencies", _files_met("src", "dst", 2))
+def _(bed: Bed):
+    repo, _fn, path = _first_caller(bed)
+    return _in_sql(bed, "SELECT * FROM downstream_dependencies(?, ?, 2) ORDER BY path LIMIT 500", repo, path)
+
+
+@query("sql_file_overview", f"""WITH {START}
+SELECT 'class' AS kind, c.name, c.qualified_name, c.start_line, c.end_line FROM v_classes c JOIN start s ON c.repo_id = s.repo_id AND c.file_path = s.file_path
+UNION SELECT 'function', f.name, f.qualified_name, f.start_line, f.end_line FROM v_functions f JOIN start s ON f.repo_id = s.repo_id AND f.file_path = s.file_path
+""")
+def _(bed: Bed):
+    repo, _fn, path = _first_caller(bed)
+    return _in_sql(bed, "SELECT * FROM file_overview(?, ?)", repo, path)
+
+
+@query("sql_imports_of", """
+WITH f AS (SELECT repo_id, file_path FROM v_imports ORDER BY 1, 2 LIMIT 1)
+SELECT DISTINCT module AS name, 'Module' AS label FROM v_imports JOIN f USING (repo_id, file_path)
+""")
+def _(bed: Bed):
+    row = bed.view("v_imports").agg(F.min(F.struct("repo_id", "file_path")).alias("m")).first().m
+    return _in_sql(bed, "SELECT * FROM imports_of(?, ?)", row.repo_id, row.file_path)
+
+
+@query("sql_repo_counts", """
+SELECT lower(r_name) AS repo_id, (SELECT count(*) FROM v_files f WHERE f.repo_id = lower(r_name)) AS files,
+       (SELECT count(DISTINCT qualified_name) FROM v_functions f WHERE f.repo_id = lower(r_name)) AS functions,
+       (SELECT count(DISTINCT qualified_name) FROM v_classes f WHERE f.repo_id = lower(r_name)) AS classes,
+       (SELECT count(*) FROM v_calls f WHERE f.repo_id = lower(r_name)) AS calls
+FROM region WHERE lower(r_name) = (SELECT min(repo_id) FROM v_files)
+""")
+def _(bed: Bed):
+    repo = bed.view("v_files").agg(F.min("repo_id").alias("m")).first().m
+    return _in_sql(bed, "SELECT ? AS repo_id, * FROM repo_counts(?)", repo, repo)
