@@ -1,13 +1,7 @@
-"""Column layout of the graph and registry tables, and partitioned load/save."""
+"""Column layout of the graph and registry tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from graphlens.operators.maintain import full_rebuild
-from graphlens.session import exists
-
 # Symbol and edge tables are keyed by repo_id first, so that it can be the
 # partition column of every stored table.
 SCHEMAS: dict[str, str] = {
@@ -36,16 +30,3 @@ SCHEMAS: dict[str, str] = {
     "source_repos": "source_id bigint, repo_id string, external_id string, full_name string, "
                     "default_branch string, private boolean, archived boolean, fork boolean",
 }
-
-
-def load(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A stored table, empty where nothing has been stored; the declared schema spares the inference pass."""
-    if not exists(spark, f"{root}/{table}"):
-        return spark.createDataFrame([], SCHEMAS[table])
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{table}")
-
-
-def save(df: DataFrame, root: str, table: str, rebuilt: DataFrame) -> None:
-    """Replace the partitions of the repos in `rebuilt`, leave the others as they are."""
-    columns = [f.split()[0] for f in SCHEMAS[table].split(", ")]
-    full_rebuild(df.select(*[df[c] if c in df.columns else F.lit(None).alias(c) for c in columns]), f"{root}/{table}", rebuilt)

@@ -333,9 +333,9 @@ def test_communities_are_connected_and_near_a_sequential_run(spark):
 
     rng = random.Random(6)
     pairs = {}
-    for _ in range(900):
-        a = rng.randrange(120)
-        b = (a // 12 * 12 + rng.randrange(12)) if rng.random() < 0.75 else rng.randrange(120)
+    for _ in range(500):
+        a = rng.randrange(60)
+        b = (a // 12 * 12 + rng.randrange(12)) if rng.random() < 0.75 else rng.randrange(60)
         if a != b:
             key = tuple(sorted((f"n{a:03}", f"n{b:03}")))
             pairs[key] = pairs.get(key, 0) + 1

@@ -117,7 +117,8 @@ def test_a_small_batch_costs_what_it_changes(spark, tmp_path, monkeypatch):
     rows = [v for k, v in _rows_by_stage(spark).items() if k not in seen]
     whole = 3 * n + 3 * n + 3 * n + n  # functions, call sites, edges, files
     read, written = (sum(x) for x in zip(*rows, strict=True))
-    assert read < 2 * whole and written < whole / 2, (read, written, touched)
+    # every row is written twice, on the side first
+    assert read < 2 * whole and written / 2 < 0.3 * whole, (read, written, touched)
 
     after = [(r, p, c, 1) for r, p, c, _ in _sources(spark, n, edits) if c is not None]
     full = Graph.of(spark.createDataFrame(after, layout).drop("seq"))
