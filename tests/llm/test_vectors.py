@@ -106,6 +106,21 @@ def test_top_k_against_all_scores(spark):
     assert threshold.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_rows_that_come_twice_count_twice(spark):
+    data = [(0, [1.0, 0.0]), (1, [3.0, 1.0]), (2, [2.0, 1.0]), (2, [2.0, 1.0]), (3, [1.0, 1.0])] + [(4, [4.0, 1.0])] * 3
+    twice = [(20, [0.0, 1.0])] * 2
+    df = spark.createDataFrame(data + twice, "vec_id long, embedding array<float>")
+    want = []
+    for q, v in ((0, [1, 0]), (20, [0, 1]), (20, [0, 1])):
+        want += [(q, i, int(64 * 64 * (v[0] * x[0] + v[1] * x[1]))) for i, x in data + twice if i != q]
+    for k in (20, 4):
+        best = {q: sorted(((-s, i) for a, i, s in want if a == q))[:k] for q in (0, 20)}
+        expected = [(q, r, i, -s) for q in (0, 20) for r, (s, i) in enumerate(best[q], 1)]
+        for block in (8192, 2):
+            got = threshold.top_k(df, F.col("id") % 20 == 0, k=k, block=block, query_block=1, depth=1).collect()
+            assert sorted(tuple(r) for r in got) == expected
+
+
 def test_the_algorithm_stops_early():
     rng = np.random.default_rng(0)
     rows = rng.integers(-5, 6, (5000, 4)).astype(float)
