@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.skew import running_total, split_hot_join
 from graphlens.operators import architecture as arch
-from graphlens.operators import resolve, traverse
+from graphlens.operators import resolve, tools, traverse
 from graphlens.operators.communities import both_ways, communities, connected_parts, modularity
 from graphlens.operators.components import cycles
+from workload import harness, views
 
 EDGE = "repo_id string, src string, dst string, weight long"
 
@@ -354,3 +355,55 @@ def test_communities_fall_into_connected_parts(spark):
     labels = spark.createDataFrame([("r", n, "x" if n == "x" else "one") for n in "abcdex"], "repo_id string, node string, label string")
     got = {r.node: r.label for r in connected_parts(arcs, labels).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "x": "x"}
+
+
+ODD_FUNCTIONS = [
+    ("r", "a.py", "f", "a.f"), ("r", "a.py", "f", "a.f"), ("r", "b.py", "f", "b.f"), ("r", "b.py", "g", "b.f"), ("r", "c.py", "h", None), ("r", "c.py", "f", None),
+    ("r", None, "g", "x.g"), ("r", "d.py", None, "d.n"), (None, "e.py", "f", "e.f"), ("s", "a.py", "f", "a.f"), ("s", "z.py", "g", "z.g"),
+]
+ODD_SITES = [
+    ("r", "a.f", "f", 1, "a.py"), ("r", "a.f", "f", 4, "a.py"), ("r", "a.f", "g", 9, "a.py"), ("r", "x.g", "g", 2, None), ("r", None, "f", 3, "a.py"), ("r", "b.f", None, 3, "b.py"),
+    (None, "e.f", "f", 1, "e.py"), ("s", "z.g", "f", 5, "z.py"), ("s", "a.f", "g", 6, "a.py"), ("r", "a.f", "h", None, "a.py"), ("r", "a.f", "none", 2, "a.py"),
+]
+
+
+def odd_graph(spark):
+    functions = spark.createDataFrame([(*f, 1, 9) for f in ODD_FUNCTIONS], "repo_id string, file_path string, name string, qualified_name string, start_line int, end_line int")
+    sites = spark.createDataFrame(ODD_SITES, "repo_id string, caller_qname string, callee_name string, line int, file_path string")
+    return functions, sites
+
+
+def test_stored_tables_are_those_of_their_sql(spark):
+    functions, sites = odd_graph(spark)
+    for name in ("v_calls", "v_definitions"):
+        want, got = (spark.sql(text[name], v_functions=functions, v_call_sites=sites) for text in (views.SHARED, views.SPARK))
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = spark.sql(views.SPARK["v_definitions"], v_functions=functions, v_call_sites=sites)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # names are grouped before they meet their callers
+
+
+def test_tools_walk_names_as_they_walk_edges(spark):
+    functions, sites = odd_graph(spark)
+    files = functions.select("repo_id", F.col("file_path").alias("path"), F.lit("python").alias("language")).distinct()
+    symbols = functions.select("repo_id", "file_path", "name", "qualified_name", "start_line", "end_line")
+    imports = spark.createDataFrame([("r", "a.py", "b")], "repo_id string, file_path string, module string")
+    edges = spark.sql(views.SHARED["v_calls"], v_functions=functions, v_call_sites=sites)
+    by_name = traverse.CallNames(
+        sites.select("repo_id", F.col("caller_qname").alias("caller"), F.col("callee_name").alias("name")), functions.select("repo_id", "name", F.col("qualified_name").alias("fn"))
+    )
+    found, n = [], functions.where("repo_id = 'r'").select("qualified_name").distinct().count()
+    for calls in (edges, by_name):
+        tools.register(spark, files=files, functions=functions, classes=symbols, imports=imports, calls=calls)
+        asked = [f"{q}('{repo}', '{of}', {depth})" for q, of in (("callers_of", "b.f"), ("callees_of", "a.f"), ("blast_radius", "b.py"), ("downstream_dependencies", "a.py"))
+                 for repo in "rs" for depth in (1, 2)]
+        found.append([sorted(map(str, spark.sql(f"SELECT * FROM {a}").collect())) for a in [*asked, "repo_counts('r')", "repo_counts('s')", "repo_counts('t')"]])
+    assert found[0] == found[1] and found[0][-3] == [str(spark.sql(f"SELECT {files.where('repo_id = \'r\'').count()}L AS files, {n}L AS functions, {n}L AS classes, {edges.where('repo_id = \'r\'').count()}L AS calls").first())]
+    assert sum(map(len, found[0])) > 12
+
+
+def test_questions_build_no_call_edges(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(harness, "_written", written)
+    for name in ("callers_of", "sql_callers_of", "sql_imports_of"):
+        assert harness.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert "v_calls" not in {view for _, _, view in written}
