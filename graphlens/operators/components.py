@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.operators.dependencies import FILE, NamedEdges
 from graphlens.session import cut
 
 TRIMS = 2
@@ -51,12 +52,20 @@ def _smallest_reaching(edges: DataFrame, part: DataFrame, forward: bool) -> Data
             return labels
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame | NamedEdges) -> DataFrame:
     """Members of components with more than one node: (repo_id, component, path).
 
+    Edges held by name are followed over the names: files that lead to each other over
+    names are those that lead to each other, and files sort before names.
+
     A component is named by its smallest member. Ends are trimmed; the rest is split by the smallest node reaching each and the smallest node
     each reaches, until both agree everywhere, which leaves the components.
     """
+    if isinstance(edges, NamedEdges):
+        plain = lambda c: F.expr(f"substring({c}, 2)").alias(c)
+        found = cut(cycles(edges.arcs()).filter(F.col("path").startswith(FILE)).select("repo_id", plain("component"), plain("path")))
+        many = found.groupBy("repo_id", "component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        return found.join(many.select("repo_id", "component"), ["repo_id", "component"], "left_semi")
     edges = edges.filter(F.col("src") != F.col("dst")).select("repo_id", "src", "dst").distinct()
     edges = cut(edges)
     done = None

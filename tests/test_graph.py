@@ -407,3 +407,30 @@ def test_questions_build_no_call_edges(spark, monkeypatch):
     for name in ("callers_of", "sql_callers_of", "sql_imports_of"):
         assert harness.QUERIES[name](spark, "/root/testdata/sf0.001").count()
     assert "v_calls" not in {view for _, _, view in written}
+
+
+def test_counts_by_name_are_those_of_the_edges(spark):
+    functions, sites = odd_graph(spark)
+    more = [("r", f"m{i % 17}.py", f"n{i * 7 % 11}", f"q{i}", 1, 9) for i in range(60)]
+    calls = [("r", f"q{i * 13 % 60}", f"n{i % 11}", i % 5, f"m{i * 13 % 60 % 17}.py") for i in range(0, 90, 2)]
+    functions, sites = functions.unionByName(spark.createDataFrame(more, functions.schema)), sites.unionByName(spark.createDataFrame(calls, sites.schema))
+    imports = spark.createDataFrame([("r", "m1.py", "m2.py", 2), ("r", "m2.py", "b.py", 1), ("r", "b.py", "x.py", 3), ("s", "z.py", "a.py", 1), ("t", "a", "b", 1), ("t", "b", "a", 5)], EDGE)
+    built = arch.dependency_edges(resolve.file_call_edges_by_name(sites, functions), imports).localCheckpoint()
+    members = [("r", f"m{i}.py", i % 3) for i in range(17)] + [("r", "m1.py", 2), ("r", "m1.py", 2), ("r", "b.py", None), ("s", "a.py", 0), ("s", "z.py", 1), ("t", "a", 7), ("t", "b", 7)]
+    members = spark.createDataFrame(members, "repo_id string, path string, cluster_id long")
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    asked = [arch.file_fan, cycles, arch.edge_counts, lambda e: arch.cluster_edges(e, members), lambda e: arch.cluster_metrics(e, members)]
+    want = [rows(ask(built)) for ask in asked]
+    assert all(want)
+    for chunk in (32768, 5):
+        held = resolve.named_file_edges(sites, functions, imports)
+        held.chunk = chunk
+        assert [rows(ask(held)) for ask in asked] == want
+
+
+def test_counts_build_no_file_edges(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(harness, "_written", written)
+    for name in ("file_fan", "cluster_metrics", "warn_hub", "edge_source"):
+        harness.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert "file_edges" not in {view for _, _, view in written}
