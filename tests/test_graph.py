@@ -1,13 +1,15 @@
 """Graph rules on small graphs, and properties that hold on any."""
 
 import itertools
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.skew import running_total, split_hot_join
 from graphlens.operators import architecture as arch
-from graphlens.operators import resolve, tools, traverse
+from graphlens.operators import dependencies, resolve, tools, traverse
 from graphlens.operators.communities import both_ways, communities, connected_parts, modularity
 from graphlens.operators.components import cycles
 from workload import harness, views
@@ -434,3 +436,64 @@ def test_counts_build_no_file_edges(spark, monkeypatch):
     for name in ("file_fan", "cluster_metrics", "warn_hub", "edge_source"):
         harness.QUERIES[name](spark, "/root/testdata/sf0.001").count()
     assert "file_edges" not in {view for _, _, view in written}
+
+
+def test_edges_from_the_grid_are_those_of_joins(spark):
+    """Edges held by name, handed out cell by cell, against the joined and grouped ones."""
+    functions, sites = odd_graph(spark)
+    more = [("r", f"m{i % 17}.py", f"n{i * 7 % 11}", f"q{i}", 1, 9) for i in range(60)] + [("r", "m3.py", "n2", "q1", 1, 9), ("r", "m4.py", "n5", None, 1, 9)]
+    calls = [("r", f"q{i * 13 % 60}", f"n{i % 11}", i % 5, f"m{i * 13 % 60 % 17}.py") for i in range(0, 90, 2)] + [("r", None, "n2", 1, "m1.py"), ("r", "lost", "n2", 1, "m1.py")]
+    functions, sites = functions.unionByName(spark.createDataFrame(more, functions.schema)), sites.unionByName(spark.createDataFrame(calls, sites.schema))
+    imports = spark.createDataFrame([("r", "m1.py", "m2.py", 2), ("r", "m2.py", "b.py", 1), ("r", "b.py", "x.py", 3), ("s", "z.py", "a.py", 1), ("t", "a", "b", 1), ("t", "b", "a", 5)], EDGE)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+    edges = spark.sql(views.SHARED["v_calls"], v_functions=functions, v_call_sites=sites).localCheckpoint()
+    held = resolve.NamedCalls.of(sites, functions)
+    assert rows(held.edges()) == rows(edges) and edges.count() > 100
+    few, left = sites.where("line < 3"), functions.where("coalesce(qualified_name, '') not in ('q7', 'q13', 'a.f')")
+    for now, defined in ((few, functions), (sites, left), (few, left)):
+        assert rows(resolve.stale_calls(held, now, defined)) == rows(resolve.stale_calls(edges, now, defined))
+    assert rows(resolve.file_call_edges(held, functions)) == rows(resolve.file_call_edges(edges, functions))
+
+    named = resolve.named_file_edges(sites, functions, imports)
+    callers, bearers = named.callers, named.bearers
+    joined = callers.join(bearers, ["repo_id", "name"]).where("src <> dst").select("repo_id", "src", "dst", (F.col("n_callers") * F.col("n_defined")).alias("weight"))
+    built = joined.unionByName(imports).groupBy("repo_id", "src", "dst").agg(F.sum("weight").alias("weight")).localCheckpoint()
+    repos = spark.createDataFrame([("r",), ("r-bare",), ("s",), ("t",), ("u",)], "repo_id string")
+    files = spark.createDataFrame([(r, p) for r in ("r", "r-bare", "s") for p in ("a.py", "b.py", "d/c.py", "d/e.py")], "repo_id string, path string")
+    asked = [arch.dependency_edges, arch.undirected_edges, lambda e: arch.chosen_edges(repos, files, e), lambda e: both_ways(arch.undirected_edges(e))]
+    for chunk in (16384, 5):
+        named.edge_chunk = chunk
+        assert [rows(ask(named)) for ask in asked] == [rows(ask(built)) for ask in asked]
+
+
+def test_edges_are_summed_a_few_files_at_a_time(monkeypatch):
+    rng = np.random.default_rng(1)
+    left, right = ({"place": rng.integers(40, 80, 200), "key": rng.integers(0, 9, 200), "n": rng.integers(1, 5, 200)} for _ in range(2))
+    given = {"place": rng.integers(30, 90, 50), "to": rng.integers(30, 90, 50), "n": rng.integers(1, 5, 50)}
+    empty = {c: np.zeros(0, np.int64) for c in ("place", "key", "to", "n")}
+    for pairs in (1 << 22, 64, 1):
+        monkeypatch.setattr(dependencies, "PAIRS", pairs)
+        for ordered in (False, True):
+            for one, two, more in ((left, right, given), (left, right, empty), (empty, empty, given), (empty, right, empty)):
+                want = Counter()
+                for a, k, n in zip(one["place"], one["key"], one["n"], strict=True):
+                    for b, m in zip(two["place"][two["key"] == k], two["n"][two["key"] == k], strict=True):
+                        want[a, b] += n * m
+                for a, b, n in zip(more["place"], more["to"], more["n"], strict=True):
+                    want[a, b] += n
+                steps = list(dependencies._sums(one, two, more, ordered))
+                got = [(a, b, w) for step in steps for a, b, w in zip(*step, strict=True)]
+                assert len({x[:2] for x in got}) == len(got)
+                assert {x[:2]: x[2] for x in got} == {k: w for k, w in want.items() if (k[0] < k[1] if ordered else k[0] != k[1])}
+                assert pairs > 64 or one is empty or len(steps) > 5
+
+
+def test_edges_are_not_moved_or_stored(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(harness, "_written", written)
+    for name in ("chosen_edges", "undirected_edges", "file_edges_of_calls", "stale_calls", "file_call_edges", "file_dependency_edges"):
+        plan = harness.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        above = plan.split("FlatMapGroupsInArrow")[0] if name != "stale_calls" else ""
+        assert "Exchange" not in above and ("FlatMapGroupsInArrow" in plan) == (name != "stale_calls")
+    assert not {"v_calls", "file_edges"} & {view for _, _, view in written}
