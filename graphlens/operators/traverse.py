@@ -8,8 +8,11 @@ number of paths to it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,44 +182,110 @@ def _as_bits(ordinal: str) -> list[Column]:
     return [F.expr(f"{ordinal} div {WORD * LANES}").alias("block"), *[F.when(lane == k, bit).otherwise(F.lit(0).cast("long")).alias(b) for k, b in enumerate(BITS)]]
 
 
+PAIRS_PER_CELL = 250_000
+SETS_PER_CELL = 500_000
+MEETINGS = 1 << 19
+
+
+def _unions(key: np.ndarray, name: np.ndarray, held: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, block, set) of the sets of all names of a key put together, some keys at a time and each of them whole."""
+    by_name, by_key = np.argsort(held, kind="stable"), np.argsort(key, kind="stable")
+    held, block, bits, key, name = held[by_name], block[by_name], bits[by_name], key[by_key], name[by_key]
+    first, last = (np.searchsorted(held, name, side) for side in ("left", "right"))
+    met = np.concatenate([[0], np.cumsum(last - first)])
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+    step, width = met[begin] // MEETINGS, int(block.max(initial=0)) + 1
+    for k in np.unique(step):
+        lo, hi = np.searchsorted(step, [k, k + 1])
+        r = np.arange(begin[lo], begin[hi] if hi < len(begin) else len(key))
+        row = np.repeat(r, last[r] - first[r])
+        at = np.arange(len(row)) - np.repeat(met[r] - met[r[0]], last[r] - first[r]) + first[row]
+        code = key[row] * width + block[at]
+        if len(code):
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            yield code[new] // width, code[new] % width, np.bitwise_or.reduceat(bits[at[order]], new, axis=0)
+
+
+def _cell_of_sets(cell: pa.Table) -> tuple[pa.Array, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The keys of a cell, their places among the files (-1: none), and the sets put together by key."""
+    cell = cell.combine_chunks()
+    is_pair = cell["kind"].to_numpy() == 0
+    pairs, sets = cell.filter(pa.array(is_pair)), cell.filter(pa.array(~is_pair))
+    name = cell["name"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    keys = pairs["key"].combine_chunks().dictionary_encode()
+    code = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ordinal = np.full(len(keys.dictionary), -1, np.int64)
+    ordinal[code] = pairs["ordinal"].to_numpy()
+    bits = np.stack([sets[b].to_numpy() for b in BITS], axis=1)
+    return keys.dictionary, ordinal, _unions(code, name[is_pair], name[~is_pair], sets["block"].to_numpy(), bits)
+
+
+def _carry(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, _, unions = _cell_of_sets(pa.Table.from_batches(list(batches)))
+    for name, block, bits in unions:
+        yield pa.RecordBatch.from_arrays(
+            [pa.repeat(key[0], len(name)), names.take(pa.array(name)), pa.array(block), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LANES)]], names=["repo_id", "name", "block", *BITS]
+        )
+
+
+def _count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    paths, ordinal, unions = _cell_of_sets(pa.Table.from_batches(list(batches)))
+    met = np.zeros(len(paths), np.int64)
+    for path, block, bits in unions:
+        np.add.at(met, path, np.bitwise_count(bits.view(np.uint64)).sum(axis=1, dtype=np.int64))
+        own = np.flatnonzero(ordinal[path] // (WORD * LANES) == block)
+        place = ordinal[path[own]]
+        met[path[own]] -= (bits[own, place // WORD % LANES] >> (place % WORD)) & 1
+    yield pa.RecordBatch.from_arrays([pa.repeat(key[0], len(paths)), paths, pa.array(met)], names=["repo_id", "path", "met"])
+
+
+def _cells_of_sets(pairs: DataFrame, sets: DataFrame):
+    """Pairs (repo_id, key, name, ordinal) and sets (repo_id, name, block, bits) in cells: every part of a repo's keys meets every part of its blocks."""
+    pairs, sets = pairs.where("name is not null and key is not null"), sets.where("name is not null")
+    part = lambda df, most, name: df.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    parts = cut(part(pairs, PAIRS_PER_CELL, "_is").join(part(sets, SETS_PER_CELL, "_js"), "repo_id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = F.lit(None).cast("long")
+    dealt = pairs.join(parts, "repo_id").select(
+        "repo_id", F.pmod(F.xxhash64("key"), F.col("_is")).cast("int").alias("i"), every("_js").alias("j"), F.lit(0).alias("kind"), "key", "name", "ordinal", none.alias("block"), *[none.alias(b) for b in BITS]
+    ).unionByName(sets.join(parts, "repo_id").select(
+        "repo_id", every("_is").alias("i"), F.pmod("block", "_js").cast("int").alias("j"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("key"), "name", none.alias("ordinal"), "block", *BITS
+    ))
+    return dealt.groupBy("repo_id", "i", "j")
+
+
 def blast_radius_all(graph: CallNames, functions: DataFrame, files: DataFrame, depth: int = 2) -> DataFrame:
     """Number of affected files for every file at once.
 
     What leads to a name is a set of files, held as bits over their places in the
     repo, 512 to a row. A hop takes the sets of the names that callers bear to the
-    names they call and unites them there, map-side first; so a hop moves at most a
-    row per name and 512 files, and (file, file) pairs are never built.
+    names they call and unites them there; the sets of the names of a file are
+    united and counted. Both happen within cells, where a part of a repo's names or files
+    meets a part of its blocks: what is moved are names and sets, once per part of the
+    other side, and neither (file, file) pairs nor the sets of single files leave a task.
     """
     if depth < 1:
         raise ValueError("depth starts at 1")
     owner = functions.select("repo_id", F.col("qualified_name").alias("fn"), F.col("file_path").alias("path")).distinct()
-    places = cut(running_total(owner.select("repo_id", "path").distinct(), ["repo_id"], ["path"], F.lit(1), "ordinal").select("repo_id", "path", "ordinal"))
+    places = cut(running_total(owner.select("repo_id", "path").distinct(), ["repo_id"], ["path"], F.lit(1).cast("long"), "ordinal").select("repo_id", "path", "ordinal"))
     bits = places.select("repo_id", "path", *_as_bits("ordinal"))
     named = ["repo_id", "name"]
-    direct = cut(_united(
+    leads = cut(_united(
         graph.calls.join(owner.withColumnRenamed("fn", "caller"), ["repo_id", "caller"]).select(*named, "path").distinct().join(bits, ["repo_id", "path"]), named
     ))
-    # what a caller calls, by the names that it bears itself
-    passes = cut(
-        graph.calls.withColumnRenamed("name", "called").join(graph.names.withColumnRenamed("fn", "caller"), ["repo_id", "caller"])
-        .select("repo_id", "called", "name").distinct()
-    ) if depth > 1 else None
-    leads = direct
+    if depth > 1:
+        # what a caller calls, by the names that it bears itself; what has led to a name still does
+        passes = graph.calls.withColumnRenamed("name", "key").join(graph.names.withColumnRenamed("fn", "caller"), ["repo_id", "caller"]).select("repo_id", "key", "name")
+        passes = cut(passes.unionByName(leads.select("repo_id", F.col("name").alias("key"), "name")).distinct().withColumn("ordinal", F.lit(-1).cast("long")))
     for _ in range(depth - 1):
-        carried = passes.join(leads, named).drop("name").withColumnRenamed("called", "name")
-        step = cut(_united(carried.unionByName(direct), named))
-        if leads is not direct:
-            forget(leads)
+        step = cut(_cells_of_sets(passes, leads).applyInArrow(_carry, f"repo_id string, name string, block long, {', '.join(f'{b} long' for b in BITS)}"))
+        forget(leads)
         leads = step
-    borne = owner.join(graph.names, ["repo_id", "fn"]).select("repo_id", "path", "name").distinct()
-    met = _united(borne.join(leads, named).drop("name"), ["repo_id", "path"])
-    others = F.sum(sum((F.bit_count(b) for b in BITS[1:]), F.bit_count(BITS[0]))).alias("met")
-    own = places.select("repo_id", "path", *_as_bits("ordinal"))
-    is_met = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"o.{b}"))) for b in BITS[1:]), F.bit_count(F.col("b0").bitwiseAND(F.col("o.b0"))))
-    itself = met.join(own.select("repo_id", "path", "block", F.struct(*BITS).alias("o")), ["repo_id", "path", "block"]).select("repo_id", "path", is_met.alias("itself"))
-    counts = met.groupBy("repo_id", "path").agg(others).join(itself, ["repo_id", "path"], "left").select(
-        "repo_id", "path", (F.col("met") - F.coalesce("itself", F.lit(0))).alias("affected_files")
-    )
+    borne = cut(owner.join(graph.names, ["repo_id", "fn"]).select("repo_id", "path", "name").distinct().join(places, ["repo_id", "path"]).select("repo_id", F.col("path").alias("key"), "name", "ordinal"))
+    met = _cells_of_sets(borne, leads).applyInArrow(_count, "repo_id string, path string, met long")
+    counts = met.groupBy("repo_id", "path").agg(F.sum("met").alias("affected_files"))
     return (
         files.select("repo_id", "path")
         .join(counts, ["repo_id", "path"], "left")

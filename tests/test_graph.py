@@ -497,3 +497,35 @@ def test_edges_are_not_moved_or_stored(spark, monkeypatch):
         above = plan.split("FlatMapGroupsInArrow")[0] if name != "stale_calls" else ""
         assert "Exchange" not in above and ("FlatMapGroupsInArrow" in plan) == (name != "stale_calls")
     assert not {"v_calls", "file_edges"} & {view for _, _, view in written}
+
+
+def test_sets_of_files_are_united_a_few_keys_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    key, name, held, block = rng.integers(0, 30, 150), rng.integers(0, 12, 150), rng.integers(0, 12, 60), rng.integers(0, 5, 60)
+    bits = rng.integers(-(1 << 63), (1 << 63) - 1, (60, traverse.LANES), dtype=np.int64)
+    want = {}
+    for k, n in zip(key, name, strict=True):
+        for b, x in zip(block[held == n], bits[held == n], strict=True):
+            want[k, b] = want.get((k, b), 0) | x
+    for meetings in (1 << 19, 16):
+        monkeypatch.setattr(traverse, "MEETINGS", meetings)
+        steps = list(traverse._unions(key, name, held, block, bits))
+        got = [((k, b), tuple(x)) for step in steps for k, b, x in zip(*step, strict=True)]
+        assert len(got) == len(want) and dict(got) == {k: tuple(x) for k, x in want.items()}
+        assert meetings > 16 or len(steps) > 5
+
+
+def test_affected_files_in_many_cells(spark, monkeypatch):
+    """The same counts whatever the parts; and no row for a file and a block of others leaves a task."""
+    n = 600
+    functions = spark.createDataFrame([("r", f"m{i:03}.py", f"n{i % 40}", f"q{i}", 1, 9) for i in range(n)], "repo_id string, file_path string, name string, qualified_name string, start_line int, end_line int")
+    sites = spark.createDataFrame([("r", f"q{i}", f"n{i * 7 % 41}", 1, f"m{i:03}.py") for i in range(0, n, 3)], "repo_id string, caller_qname string, callee_name string, line int, file_path string")
+    files, found = functions.select("repo_id", F.col("file_path").alias("path")), []
+    graph = traverse.CallNames.of(sites, functions)
+    for pairs, sets in ((250_000, 500_000), (50, 9)):
+        monkeypatch.setattr(traverse, "PAIRS_PER_CELL", pairs)
+        monkeypatch.setattr(traverse, "SETS_PER_CELL", sets)
+        got = traverse.blast_radius_all(graph, functions, files)
+        assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        found.append(sorted(map(tuple, got.collect())))
+    assert found[0] == found[1] and max(x[2] for x in found[0]) > 20
