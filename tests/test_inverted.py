@@ -88,3 +88,24 @@ def test_blocks_are_skipped_and_parts_pruned(spark, tmp_path, monkeypatch):
     opened = index._of("postings", words, None).select(F.input_file_name().alias("f")).distinct().collect()
     assert len({r.f.split("part=")[1].split("/")[0] for r in opened}) == len(words)
     assert "text" not in found._jdf.queryExecution().toString()
+
+
+def test_words_are_counted_in_the_row_and_moved_once(spark, tmp_path, monkeypatch):
+    worded = spark.createDataFrame([(1, "a", ["b", "a", "b", "é"]), (2, None, []), (3, "a", ["x"])], "doc long, grp string, words array<string>")
+    counted = inverted._runs(worded)
+    assert sorted(map(tuple, counted.collect())) == [(1, "a", 4, "a", 1), (1, "a", 4, "b", 2), (1, "a", 4, "é", 1), (3, "a", 1, "x", 1)]
+    index = KeywordIndex(spark, str(tmp_path / "index"), parts=4)
+    plan = index._blocks(counted.withColumn("part", index._part("token")), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    monkeypatch.setattr(inverted, "DOCS_PER_SLICE", 50)
+    monkeypatch.setattr(inverted, "BLOCK", 8)
+    docs = corpus(5, 300)
+    index.update(0, frame(spark, docs))
+    _agree(index, docs)
+
+
+def test_a_document_sent_twice_is_one_posting(spark, tmp_path):
+    index = KeywordIndex(spark, str(tmp_path / "index"), parts=4)
+    index.update(0, spark.createDataFrame([(1, "a", "x y"), (1, "a", "x z"), (1, "a", "x"), (None, "a", "x y"), (None, "a", "x y"), (2, "a", "x x y")], "doc long, grp string, text string"))
+    rows = index._read("postings").where("token = 'x'").select("docs").collect()
+    assert sorted(((d.doc or 0), d.tf, d.length) for r in rows for d in r.docs) == [(0, 2, 2), (1, 1, 1), (1, 2, 2), (2, 2, 3)]
