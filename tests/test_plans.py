@@ -145,3 +145,18 @@ def test_refined_edges_stand_until_an_end_goes(spark, tmp_path):
     assert _edges(live.read(spark, root)) == {("a.f", "c.h", 2, True), ("a.f", "b.g", 3, False), ("c.h", "b.g", 2, False)}
     live.apply_batch(root, batch(("r", "a.py", None, 4)))
     assert _edges(live.read(spark, root)) == {("c.h", "b.g", 2, False)}
+
+
+def test_stored_edges_grow_with_callers_not_with_pairs(spark, tmp_path):
+    """Thirty callers of a name with thirty bearers are thirty rows, and nine hundred edges when read."""
+    from graphlens.plans import live
+
+    root, n = str(tmp_path / "live"), 30
+    rows = [("r", f"m{k}.py", "def shared():\n    pass\n\n\ndef f():\n    shared()\n", 1) for k in range(n)]
+    live.apply_batch(root, spark.createDataFrame(rows, "repo_id string, path string, content string, seq int"))
+    assert live.Store(spark, root).rows("edges").count() == n
+    calls = live.read(spark, root).calls
+    assert calls.select("src", "dst").distinct().count() == calls.count() == n * n
+    live.refine(root, spark.createDataFrame([("r", "m1.f", "m2.shared", 9), ("r", "m1.f", "m3.f", 9)], "repo_id string, src string, dst string, line int"))
+    calls = live.read(spark, root).calls
+    assert calls.count() == n * n + 1 and sorted((r.dst, r.line) for r in calls.where("precise").collect()) == [("m2.shared", 9), ("m3.f", 9)]
