@@ -157,6 +157,10 @@ def test_stored_edges_grow_with_callers_not_with_pairs(spark, tmp_path):
     assert live.Store(spark, root).rows("edges").count() == n
     calls = live.read(spark, root).calls
     assert calls.select("src", "dst").distinct().count() == calls.count() == n * n
+    # one file gets a function more: what else it bears stays known, in whatever bucket
+    live.apply_batch(root, spark.createDataFrame([(*rows[1][:2], rows[1][2] + "".join(f"\n\ndef x{k}():\n    pass\n" for k in range(8)), 2)], "repo_id string, path string, content string, seq int"))
+    calls = live.read(spark, root).calls
+    assert calls.select("src", "dst").distinct().count() == calls.count() == n * n
     live.refine(root, spark.createDataFrame([("r", "m1.f", "m2.shared", 9), ("r", "m1.f", "m3.f", 9)], "repo_id string, src string, dst string, line int"))
     calls = live.read(spark, root).calls
     assert calls.count() == n * n + 1 and sorted((r.dst, r.line) for r in calls.where("precise").collect()) == [("m2.shared", 9), ("m3.f", 9)]
