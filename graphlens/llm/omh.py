@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import FOLD, U64, Substrings, connected, map_slices, mix, per_row, small_batches, words
+from graphlens.llm.common import FOLD, U64, Substrings, connected, map_slices, mix, per_row, slices, small_batches, words
 from graphlens.llm.edits import banded
 from graphlens.session import cut
 
@@ -21,6 +21,8 @@ SIMILARITY = 0.8
 FULL = 48
 GRAM = 2
 CHUNK = 1024
+SLOTS = 22
+RUN = 500_000
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -137,73 +139,97 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return small_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(verify, "a long, b long")
 
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """(content, grams): 32-bit hashes of each text's word pairs, repeated ones told apart."""
-    arrow = pa.schema([("content", pa.int64()), ("grams", pa.binary())])
+def _word_keys(texts: DataFrame) -> DataFrame:
+    """(content, words): the 64-bit hashes of each text's words, in order."""
+    arrow = pa.schema([("content", pa.int64()), ("words", pa.binary())])
 
     def make(rows, raw, offsets):
         starts, ends, of = words(raw, offsets)
-        made, bounds = labelled_shingles(Substrings(FOLD[raw]).of(starts, ends), of, len(offsets) - 1, GRAM)
-        short = (made >> U64(32)).astype(np.uint32)
-        return {"content": rows.column(0), "grams": pa.array([short[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())}
+        keys = Substrings(FOLD[raw]).of(starts, ends)
+        bounds = np.searchsorted(of, np.arange(len(offsets)))
+        return {"content": rows.column(0), "words": pa.array([keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())}
+
+    return map_slices(texts.select("content", "text"), "text", "content long, words binary", arrow, make)
 
-    return map_slices(texts.select("content", "text"), "text", "content long, grams binary", arrow, make)
 
+def _slots(keys: np.ndarray, bounds: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each text's runs of `gram` words, repeated ones told apart, and the bounds of the texts among them."""
+    made, count = [], []
+    for a, b in slices(bounds, RUN):
+        rows = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        out, at = labelled_shingles(keys[bounds[a] : bounds[b]], rows, b - a, gram)
+        made.append((out >> U64(64 - SLOTS)).astype(np.uint32))
+        count.append(np.diff(at))
+    return np.concatenate(made), np.concatenate([[0], np.cumsum(np.concatenate(count))])
 
-def _alike(pdf: pd.DataFrame, similarity: float, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of a block, of different roots, whose word pairs allow an alignment.
 
-    An edit changes at most GRAM of a text's grams, so two texts that align within
-    k edits share all but GRAM * k of the longer's. Nothing that aligns is lost;
-    hashes that meet by chance only let more through. With `forest`, links that
-    others already imply are left out.
+def _links(pdf: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of a block whose words align, as many as tie together what aligns and had different roots.
+
+    An edit changes at most g of a text's runs of g words, so two texts that align
+    within k edits share all but g * k of the longer's. Pairs that do, for words and
+    for word pairs, are aligned, unless links found before already put them in one
+    class or an earlier key of both, whose bucket has them too. Nothing that aligns is
+    lost; runs that meet in a slot by chance only let more through.
     """
     pdf.sort_values(["n", "content"], inplace=True, ignore_index=True)
     n, side = pdf["n"].to_numpy(), pdf["chunk"].to_numpy()
     _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
     most, label = np.bincount(root).argmax(), root.copy()
-    _, grams = np.unique(np.frombuffer(b"".join(pdf["grams"]), np.uint32), return_inverse=True)
-    bounds = np.concatenate([[0], np.cumsum([len(g) // 4 for g in pdf["grams"]])])
-    mark = np.zeros(grams.max() + 1, np.int32)
+    bands = np.array(pdf["keys"].tolist(), np.int64)
+    earlier = bands[:, : int((bands[0] == pdf["key"].iloc[0]).argmax())]
+    keys = np.frombuffer(b"".join(pdf["words"]), U64)
+    bounds = np.concatenate([[0], np.cumsum([len(w) // 8 for w in pdf["words"]])])
+    single, ends = _slots(keys, bounds, 1)
+    double, ends_2 = _slots(keys, bounds, GRAM)
+    mark = np.zeros(1 << SLOTS, np.int32)
     across, place = pdf["lo"].iloc[0] != pdf["hi"].iloc[0], np.arange(len(pdf))
     kept: list[tuple[int, int]] = []
     # pairs with the most common root are seen from their other side
     for i in np.flatnonzero(root != most).tolist():
         a, b = np.searchsorted(n, [similarity * n[i] - 1, n[i] / similarity + 1])
-        wanted = (label[a:b] != label[i]) if forest else (root[a:b] != root[i])
-        wanted &= (place[a:b] > i) | (root[a:b] == most)
+        wanted = (label[a:b] != label[i]) & ((place[a:b] > i) | (root[a:b] == most))
         wanted &= np.minimum(n[a:b], n[i]) >= similarity * np.maximum(n[a:b], n[i])
+        wanted &= ~(earlier[a:b] == earlier[i]).any(axis=1)
         if across:
             wanted &= side[a:b] != side[i]
         if not wanted.any():
             continue
-        mark[grams[bounds[i] : bounds[i + 1]]] = 1
-        shared = np.add.reduceat(mark[grams[bounds[a] : bounds[b]]], bounds[a:b] - bounds[a])
-        mark[grams[bounds[i] : bounds[i + 1]]] = 0
+        own = single[ends[i] : ends[i + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[single[ends[a] : ends[b]]], ends[a:b] - ends[a])
+        mark[own] = 0
         longer = np.maximum(n[a:b], n[i])
-        need = longer - GRAM + 1 - GRAM * ((1 - similarity) * longer + 1e-9).astype(np.int64)
-        for j in (a + np.flatnonzero(wanted & (shared >= need))).tolist():
-            if forest:
-                if label[j] == label[i]:
-                    continue
+        limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        maybe = np.flatnonzero(wanted & (shared >= longer - limit))
+        own, mine = double[ends_2[i] : ends_2[i + 1]], None
+        mark[own] = 1
+        for o in maybe[np.argsort(-shared[maybe], kind="stable")].tolist():
+            j = a + o
+            if label[j] == label[i] or mark[double[ends_2[j] : ends_2[j + 1]]].sum() < longer[o] - GRAM + 1 - GRAM * limit[o]:
+                continue
+            mine = keys[bounds[i] : bounds[i + 1]].tolist() if mine is None else mine
+            if banded(mine, keys[bounds[j] : bounds[j + 1]].tolist(), int(limit[o])) <= limit[o]:
                 label[label == label[j]] = label[i]
-            kept.append((i, j))
+                kept.append((i, j))
+        mark[own] = 0
     made = np.array(kept, np.int64).reshape(-1, 2)
     return made[:, 0], made[:, 1]
 
 
-def _within(members: DataFrame, grams: DataFrame, similarity: float, forest: bool, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) in full buckets (key, content, n, root), in different classes so far, that may align.
+def _within(members: DataFrame, contents: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that join the classes so far of full buckets (key, content, n, root) wherever their words align.
 
-    Buckets are cut into chunks by a hash, every two chunks of a bucket meet in a
-    task, and only what passes `_alike` leaves it.
+    Contents are (content, words, keys). Buckets are cut into chunks by a hash, every two
+    chunks of a bucket meet in a task, and the pairs are aligned there: no more
+    links leave it than it takes to join its rows, however many pairs there are.
     """
     open_ = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     dealt = (
         members.select("key", "content", "n", "root").join(open_.where("x <> y").select("key", "chunks").hint("merge"), "key")
-        .join(grams.hint("merge"), "content").withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"))
+        .join(contents.hint("merge"), "content").withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "content", "n", "root", "grams")
+        .select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "content", "n", "root", "words", "keys")
     )
 
     def groups(batches) -> Iterator[pd.DataFrame]:
@@ -224,7 +250,7 @@ def _within(members: DataFrame, grams: DataFrame, similarity: float, forest: boo
     def run(batches):
         for pdf in groups(batches):
             if len(pdf) > 1:
-                i, j = _alike(pdf, similarity, forest)
+                i, j = _links(pdf, similarity)
                 one, two = pdf["content"].to_numpy()[i], pdf["content"].to_numpy()[j]
                 yield pd.DataFrame({"a": np.maximum(one, two), "b": np.minimum(one, two)})
 
@@ -261,8 +287,7 @@ def classes(
     A bucket of candidates is first held against one of its members, which joins
     large groups of copies without forming their pairs. What the links found so
     leave in different classes of one bucket is then compared pair by pair. In
-    buckets of more than `full`, only pairs whose words allow an alignment are, first
-    those that tie them together, then all that are still in different classes.
+    buckets of more than `full` that is done within tasks, which hand out links only.
     """
     every = cut(sketches(docs, shingle, bands, kept))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version"))
@@ -297,22 +322,14 @@ def classes(
     met = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
     open_ = cut(placed.join(met.select("key", "m"), "key").select("key", "size", "content", "n", "root", "m"))
     few, many = open_.where(F.col("m") <= full), open_.where(F.col("m") > full)
-    tested, found = starred, links
-    pairs = _across(few, similarity)
-    if crowded := bool(many.limit(1).count()):
-        grams = cut(_grams(texts.join(many.select("content").distinct().hint("merge"), "content", "left_semi")))
-        pairs = pairs.unionByName(_within(many, grams, similarity, forest=True))
-    while True:
-        rest = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        more = cut(_aligned(rest, texts, similarity))
-        if more.limit(1).count():
-            found = found.unionByName(more)
-            roots = connected(found)
-        if not crowded:
-            break
-        crowded, tested = False, tested.unionByName(rest)
-        now = many.drop("root").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-        pairs = _within(now, grams, similarity, forest=False)
+    rest = cut(_across(few, similarity).distinct().join(starred, ["a", "b"], "left_anti"))
+    more = cut(_aligned(rest, texts, similarity))
+    if many.limit(1).count():
+        crowd = many.select("content").distinct()
+        inside = _word_keys(texts.join(crowd.hint("merge"), "content", "left_semi")).join(contents.select("content", "keys"), "content")
+        more = more.unionByName(cut(_within(many, cut(inside), similarity)))
+    if more.limit(1).count():
+        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     member = contents.select("content", "first").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn(
         "root", F.coalesce("root", "content")
     )

@@ -103,3 +103,23 @@ def test_pairs_in_full_buckets(spark):
     print(sum(few[2 * k + 1] == 2 * k for k in range(100)), sum(many[2 * k + 1] == 2 * k for k in range(100)))
     assert many == few
     assert sum(many[2 * k + 1] == 2 * k for k in range(100)) >= 95
+
+
+def test_pairs_of_a_full_bucket_stay_in_its_task(spark, monkeypatch):
+    """Texts that all but align: what is aligned over rows grows with the texts, not with their pairs."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    body = [rng.choice(vocabulary) for _ in range(150)]
+    rows = [(k, " ".join(body + [rng.choice(vocabulary) for _ in range(40)])) for k in range(120)]
+    rows += [(120 + k, rows[k][1] + " more") for k in range(0, 120, 10)]
+    made, aligned = [], omh._aligned
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return aligned(pairs, *rest)
+
+    monkeypatch.setattr(omh, "_aligned", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(docs, full=8).collect()}
+    assert got == brute(rows)
+    assert sum(made) <= 8 * len(rows), made
