@@ -155,6 +155,22 @@ def test_communities_do_not_depend_on_partitions_and_raise_modularity(spark):
     assert found > alone
 
 
+def test_rounds_of_communities_move_numbers(spark, monkeypatch):
+    import graphlens.operators.communities as module
+
+    moved, level = [], module._one_level
+
+    def seen(arcs, *rest):
+        moved.extend(kind for name, kind in arcs.dtypes if name in ("repo_id", "src", "dst"))
+        return level(arcs, *rest)
+
+    monkeypatch.setattr(module, "_one_level", seen)
+    e = edges(spark, ("b", "a"), ("é", "Z")).unionByName(edges(spark, ("a", "b"), repo="q"))
+    got = {tuple(r) for r in communities(e).collect()}
+    assert got == {("r", "a", 1), ("r", "b", 1), ("r", "Z", 0), ("r", "é", 0), ("q", "a", 0), ("q", "b", 0)}
+    assert moved and set(moved) == {"bigint"}
+
+
 def test_long_chains_settle(spark):
     chain = edges(spark, *[(f"n{i:04}", f"n{i + 1:04}") for i in range(1000)])
     ring = edges(spark, *[(f"n{i:04}", f"n{(i + 1) % 40:04}") for i in range(40)], repo="s")
