@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import map_slices, slices, small_batches, text_buffers
+from graphlens.llm.common import map_slices, slices, small_batches, small_table, text_buffers
 from graphlens.llm.text_features import NAMES, features
 
 BINS = 48
@@ -172,8 +172,9 @@ def fit(
         .orderBy(F.xxhash64("label_id"), "label_id", "y").limit(sample)
     )
     rows = chosen.collect()
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(int(r.label_id), int(r.y)) for r in rows], "label_id long, y int")
+    known = small_table(
+        docs.sparkSession, label_id=pa.array([r.label_id for r in rows], pa.int64()), y=pa.array([r.y for r in rows], pa.int32())
+    )
     asked = docs.join(F.broadcast(known.select("label_id").distinct()), docs[id_col].cast("long") == F.col("label_id"), "left_semi")
     made = text_features(asked, id_col, text_col).join(F.broadcast(known), F.col("id") == F.col("label_id")).toPandas()
     made = made.sort_values(["id", "y"], kind="stable")

@@ -309,7 +309,8 @@ def dedup_lines(
         base[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_version")),
         "left",
     )
-    rebuilt = without(F.when(F.col("_removed").isNotNull(), text), F.col("_removed"))
+    # a filter on the text would otherwise run the function a second time, with workers of its own
+    rebuilt = without.asNondeterministic()(F.when(F.col("_removed").isNotNull(), text), F.col("_removed"))
     return at.select(
         *[F.coalesce(rebuilt, text).alias(c) if c == text_col else F.col(c) for c in base.columns],
         F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).alias("n_lines"),

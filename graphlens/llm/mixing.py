@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.skew import running_total
-from graphlens.llm.common import U64, mix, small_batches, stamp
+from graphlens.llm.common import U64, mix, small_batches, small_table, stamp
 from graphlens.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -208,7 +208,7 @@ def mix_documents(
         )
     )
     plan = plan_mix(stored.select("source", "size"), weights, most, block, seed)
-    index = spark.createDataFrame([(i, n) for i, n in enumerate(plan.names)], "source_ix int, source string")
+    index = small_table(spark, source_ix=pa.array(range(len(plan.names)), pa.int32()), source=pa.array(plan.names, pa.string()))
     narrow = stored.where("size > 0").select("_row", "id", "source", "size")
     placed = running_total(
         narrow.join(F.broadcast(index), narrow["source"].eqNullSafe(index["source"])).select("_row", "id", "source_ix", "size"),
@@ -233,8 +233,9 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document."""
     stored, pieces, plan = mix_documents(docs, **options)
     sums = pieces.groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    sources = docs.sparkSession.createDataFrame(
-        list(zip(plan.names, plan.sizes, plan.targets, strict=True)), "source string, source_size long, target double"
+    sources = small_table(
+        docs.sparkSession, source=pa.array(plan.names, pa.string()), source_size=pa.array(plan.sizes, pa.int64()),
+        target=pa.array(plan.targets, pa.float64()),
     )
     left = stored.join(sums, "_row", "left").alias("d")
     return left.join(F.broadcast(sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(

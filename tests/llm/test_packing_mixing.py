@@ -98,6 +98,13 @@ def test_mix_meets_its_targets(spark, block):
         assert abs(sum(taken) - target) <= 1
 
 
+def test_the_plan_is_joined_without_python(spark):
+    docs = spark.createDataFrame([(1, "x y", None), (2, "z", "a")], "doc_id long, text string, source string")
+    for made in (mixing.mix_report(docs), mixing.mixed_texts(docs)):
+        assert "ExistingRDD" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.source_size, r.taken) for r in mixing.mix_report(docs).collect()) == [(1, 2, 2), (2, 1, 1)]
+
+
 def test_mixed_texts_hold_the_words_taken(spark):
     rows = [(i, "".join(f"d{i}w{k}{' ' if k % 3 else chr(10)}" for k in range(7 * i)), "abc"[i % 3], i) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")

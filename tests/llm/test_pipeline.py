@@ -1,6 +1,7 @@
 """The pipeline on a small corpus, each stage against its operator's rules."""
 
 import corpus_pipeline as pipeline
+from graphlens.llm import line_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +33,17 @@ def test_run_packs_what_the_stages_leave(spark):
     assert {r.doc_id for r in made.select("doc_id").distinct().collect()} <= kept
 
 
+def test_lines_are_taken_out_in_one_pass(spark, monkeypatch):
+    text = "a line to keep\na line to drop"
+    rows = [(1, text, "en", "a", len(text)), (2, "a line to drop", "en", "a", 14), (3, None, "en", "a", 0), (4, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    taken = docs.where("doc_id < 3").selectExpr("doc_id as id", "xxhash64(text) as version", "array(2 - cast(doc_id as int), 9) as removed")
+    monkeypatch.setattr(line_dedup, "repeats", lambda *_: taken)
+    made = pipeline.lines(spark, docs, SF)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in made.collect()) == [(1, "a line to keep", 14), (3, None, 0), (4, "", 0)]
+
+
 def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
