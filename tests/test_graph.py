@@ -515,6 +515,21 @@ def test_edges_are_not_moved_or_stored(spark, monkeypatch):
     assert not {"v_calls", "file_edges"} & {view for _, _, view in written}
 
 
+def test_the_grid_moves_a_value_for_a_chunk(spark):
+    """Callers and bearers are moved once, then as one value for each chunk and cell."""
+    files, names, n = 200, 40, 2000
+    rows = lambda file, count, step: spark.range(n).select(
+        F.lit("r").alias("repo_id"), F.concat(F.lit("n"), (F.col("id") * step % names).cast("string")).alias("name"),
+        F.format_string("f%03d", F.col("id") % files).alias(file), F.lit(1).cast("long").alias(count),
+    )
+    held = dependencies.NamedEdges(rows("src", "n_callers", 7).localCheckpoint(), rows("dst", "n_defined", 3).localCheckpoint(), spark.createDataFrame([], EDGE), edge_chunk=20)
+    held._places()
+    for ask in (held.edges, held.undirected):
+        seen = set(_shuffled(spark))
+        assert ask().count() > 0
+        assert sum(v for k, v in _shuffled(spark).items() if k not in seen) < 4 * n * 2
+
+
 def test_sets_of_files_are_united_a_few_keys_at_a_time(monkeypatch):
     rng = np.random.default_rng(3)
     key, name, held, block = rng.integers(0, 30, 150), rng.integers(0, 12, 150), rng.integers(0, 12, 60), rng.integers(0, 5, 60)
