@@ -530,6 +530,23 @@ def test_the_grid_moves_a_value_for_a_chunk(spark):
         assert sum(v for k, v in _shuffled(spark).items() if k not in seen) < 4 * n * 2
 
 
+def test_the_source_of_edges_counts_two(spark, monkeypatch):
+    """Whether a repo has two edges is known without counting them all."""
+    calls = [("one", "n", "a"), ("fan", "n", "a"), ("self", "n", "a"), ("names", "n", "a"), ("names", "m", "a"), ("same", "n", "a"), ("same", "m", "a"), ("both", "n", "a"), ("both", "n", "b")]
+    bears = [("one", "n", "b"), ("one", "n", "a"), *[("fan", "n", x) for x in "abc"], ("self", "n", "a"), ("names", "n", "b"), ("names", "m", "c"), ("same", "n", "b"), ("same", "m", "b"), ("both", "n", "a"), ("both", "n", "b")]
+    imports = [("imports", "a", "b", 1), ("imports", "b", "a", 1), ("import", "a", "b", 2), ("import", "a", "a", 2), ("one", "a", "b", 3)]
+    frame = lambda rows, names: spark.createDataFrame([(*r, 1) for r in rows] if len(rows[0]) == 3 else rows, names)
+    held = dependencies.NamedEdges(
+        frame(calls, "repo_id string, name string, src string, n_callers long"), frame(bears, "repo_id string, name string, dst string, n_defined long"), frame(imports, EDGE)
+    )
+    want = {r.repo_id: min(r.edges, 2) for r in arch.edge_counts(held).collect()}
+    monkeypatch.setattr(dependencies.NamedEdges, "fan", None)
+    assert {r.repo_id: r.n_edges for r in held.two_at_most().collect()} == want
+    repos = spark.createDataFrame([(r,) for r in want], "repo_id string")
+    got = {r.repo_id: r.edge_source for r in arch.edge_source(repos, spark.createDataFrame([], "repo_id string, path string"), held).collect()}
+    assert {r for r, s in got.items() if s == "calls+imports"} == {"fan", "names", "both", "imports"}
+
+
 def test_sets_of_files_are_united_a_few_keys_at_a_time(monkeypatch):
     rng = np.random.default_rng(3)
     key, name, held, block = rng.integers(0, 30, 150), rng.integers(0, 12, 150), rng.integers(0, 12, 60), rng.integers(0, 5, 60)
