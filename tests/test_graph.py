@@ -171,6 +171,23 @@ def test_rounds_of_communities_move_numbers(spark, monkeypatch):
     assert moved and set(moved) == {"bigint"}
 
 
+def test_repos_that_fit_a_task_settle_without_jobs_per_round(spark, monkeypatch):
+    """The same communities from one task per repo and from rounds over all arcs."""
+    import graphlens.operators.communities as module
+
+    rng = np.random.default_rng(8)
+    ends = [(f"n{a:02}", f"n{b:02}", int(w)) for a, b, w in zip(rng.integers(0, 40, 160), rng.integers(0, 40, 160), rng.integers(1, 9, 160), strict=True)]
+    few = [("s", "é", "a", 2), ("s", "a", "a", 3), ("s", "b", "c", 1), ("t", "x", "x", 4)]
+    e = spark.createDataFrame([("r", a, b if b < "n30" or a >= "n30" else a, w) for a, b, w in ends] + few, EDGE)
+    rounds, run = [], module._round
+    monkeypatch.setattr(module, "_round", lambda *a: rounds.append(1) or run(*a))
+    got = sorted(map(tuple, communities(e).collect()))
+    assert not rounds
+    monkeypatch.setattr(module, "HELD_EDGES", 0)
+    assert sorted(map(tuple, communities(e).collect())) == got and len(rounds) > 3
+    assert len({x[2] for x in got if x[0] == "r"}) > 2
+
+
 def test_long_chains_settle(spark):
     chain = edges(spark, *[(f"n{i:04}", f"n{i + 1:04}") for i in range(1000)])
     ring = edges(spark, *[(f"n{i:04}", f"n{(i + 1) % 40:04}") for i in range(40)], repo="s")
