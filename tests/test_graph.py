@@ -188,6 +188,15 @@ def test_repos_that_fit_a_task_settle_without_jobs_per_round(spark, monkeypatch)
     assert len({x[2] for x in got if x[0] == "r"}) > 2
 
 
+def test_quality_of_communities_moves_numbers(spark, monkeypatch):
+    from workload import graph
+
+    moved, arcs_of = [], graph.both_ways
+    monkeypatch.setattr(graph, "both_ways", lambda e: moved.extend(kind for name, kind in e.dtypes if name in "ab") or arcs_of(e))
+    rows = harness.QUERIES["community_quality"](spark, "/root/testdata/sf0.001").collect()
+    assert moved == ["bigint", "bigint"] and rows and all(r.connected and r.as_good for r in rows)
+
+
 def test_long_chains_settle(spark):
     chain = edges(spark, *[(f"n{i:04}", f"n{i + 1:04}") for i in range(1000)])
     ring = edges(spark, *[(f"n{i:04}", f"n{(i + 1) % 40:04}") for i in range(40)], repo="s")
