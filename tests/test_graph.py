@@ -276,6 +276,19 @@ def test_innermost_function_in_a_generated_file(spark):
     assert sum(v for k, v in _shuffled(spark).items() if k not in seen) < 40 * n
 
 
+def _broadcast(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_stored_functions_are_not_sent_to_the_driver(spark):
+    """Tables that look small on disk are many times that in memory, so the joins that meet them are sorted."""
+    bed = harness.Bed(spark, "/root/testdata/sf0.001")
+    definitions, functions = bed.view("v_definitions"), bed.view("v_functions")
+    assert _broadcast(resolve.innermost_function(definitions, functions)) == 0
+    assert _broadcast(resolve.refined_edges(definitions, functions)) == 0
+    assert _broadcast(spark.sql(views.SPARK["v_call_sites"], lineitem=bed.table("lineitem"), v_functions=functions)) <= 1  # lines may meet lines
+
+
 def test_affected_files_of_all_files_against_walks(spark):
     """Bit sets over several blocks of 512 files, with names that many share, against a walk from every file."""
     import random
